@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lindwurm.llm import components, mixing, tokens
+from lindwurm.llm import components, mixing, sentences, tokens
 from lindwurm.runtime import Scratch, load
 
 
@@ -41,7 +41,12 @@ def p9_uses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixture(spark, sf_dir)[0]
 
 
-QUERIES = {"p2_found": p2_found, "p8_ids": p8_ids, "p9_found": p9_found, "p9_shares": p9_shares, "p9_uses": p9_uses}
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, sent_start, sent_end) of every sentence of every document."""
+    return sentences.sentence_offsets(load(spark, sf_dir, "documents"))
+
+
+QUERIES = {"p10_found": p10_found, "p2_found": p2_found, "p8_ids": p8_ids, "p9_found": p9_found, "p9_shares": p9_shares, "p9_uses": p9_uses}
 
 SQL = {
     "p2_found": """

@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lindwurm.llm import components, mixing, sentences, tokens
+from lindwurm.llm import canonical, components, mixing, sentences, tokens
 from lindwurm.runtime import Scratch, load
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, field, place_id) of the place values that are no listed names."""
+    return canonical.map_places(load(spark, sf_dir, "source_events"), load(spark, sf_dir, "places"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(source_event_id, group_id) over the current match decisions."""
     return components.groups_of_decisions(load(spark, sf_dir, "match_decisions"))
@@ -46,7 +51,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.sentence_offsets(load(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p10_found": p10_found, "p2_found": p2_found, "p8_ids": p8_ids, "p9_found": p9_found, "p9_shares": p9_shares, "p9_uses": p9_uses}
+QUERIES = {"p1_found": p1_found, "p10_found": p10_found, "p2_found": p2_found, "p8_ids": p8_ids, "p9_found": p9_found, "p9_shares": p9_shares, "p9_uses": p9_uses}
 
 SQL = {
     "p2_found": """

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lindwurm.llm import canonical, components, mixing, sentences, tokens
+from lindwurm.llm import addresses, canonical, components, linkage, mixing, sentences, tokens
 from lindwurm.runtime import Scratch, load
 
 
@@ -19,6 +19,21 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components.groups_of_decisions(load(spark, sf_dir, "match_decisions"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id_a, id_b) of listings of different sources that announce one occasion."""
+    return p3_matches(spark, sf_dir).select("id_a", "id_b")
+
+
+def p3_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id_a, id_b, confidence) of the same pairs."""
+    return linkage.matches(load(spark, sf_dir, "source_events"), load(spark, sf_dir, "places"))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id_a, id_b) of records that write one place in different ways."""
+    return addresses.same_places(load(spark, sf_dir, "source_events"), load(spark, sf_dir, "places"))
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, ids) of every document by byte_bpe_50k."""
     return tokens.encode_texts(load(spark, sf_dir, "documents"))
@@ -51,7 +66,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.sentence_offsets(load(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p10_found": p10_found, "p2_found": p2_found, "p8_ids": p8_ids, "p9_found": p9_found, "p9_shares": p9_shares, "p9_uses": p9_uses}
+QUERIES = {"p3_found": p3_found, "p3_matches": p3_matches, "p6_found": p6_found, "p1_found": p1_found, "p10_found": p10_found, "p2_found": p2_found, "p8_ids": p8_ids, "p9_found": p9_found, "p9_shares": p9_shares, "p9_uses": p9_uses}
 
 SQL = {
     "p2_found": """

@@ -22,7 +22,7 @@ WORD = "[a-z]{5,}"
 
 def plain(text: Column) -> Column:
     """Folded text without tags."""
-    return F.regexp_replace(folded(F.coalesce(text, F.lit(""))), "<[^>]*>", " ")
+    return F.regexp_replace(folded(F.coalesce(text, F.lit(""))), "<[^>]*>|&[a-z]{2,6};?|&#[0-9]+;?", " ")
 
 
 def minutes(time: Column) -> Column:

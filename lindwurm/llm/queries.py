@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lindwurm.llm import addresses, canonical, components, linkage, mixing, sentences, tokens
+from lindwurm.llm import addresses, canonical, components, history, linkage, mixing, sentences, tokens
 from lindwurm.runtime import Scratch, load
 
 
@@ -29,6 +29,11 @@ def p3_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linkage.matches(load(spark, sf_dir, "source_events"), load(spark, sf_dir, "places"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(file_ingestion_id, id, first_id) of rows that repeat an accepted listing."""
+    return history.repeats(load(spark, sf_dir, "source_events"), load(spark, sf_dir, "file_ingestions"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id_a, id_b) of records that write one place in different ways."""
     return addresses.same_places(load(spark, sf_dir, "source_events"), load(spark, sf_dir, "places"))
@@ -66,7 +71,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.sentence_offsets(load(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_matches": p3_matches, "p6_found": p6_found, "p1_found": p1_found, "p10_found": p10_found, "p2_found": p2_found, "p8_ids": p8_ids, "p9_found": p9_found, "p9_shares": p9_shares, "p9_uses": p9_uses}
+QUERIES = {"p4_found": p4_found, "p3_found": p3_found, "p3_matches": p3_matches, "p6_found": p6_found, "p1_found": p1_found, "p10_found": p10_found, "p2_found": p2_found, "p8_ids": p8_ids, "p9_found": p9_found, "p9_shares": p9_shares, "p9_uses": p9_uses}
 
 SQL = {
     "p2_found": """

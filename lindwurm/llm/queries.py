@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lindwurm.llm import addresses, canonical, components, history, linkage, mixing, sentences, tokens
+from lindwurm.llm import addresses, canonical, components, history, linkage, mixing, sentences, survivors, tokens
 from lindwurm.runtime import Scratch, load
 
 
@@ -34,6 +34,16 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.repeats(load(spark, sf_dir, "source_events"), load(spark, sf_dir, "file_ingestions"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(canonical_event_id, field, source_event_id) of the best values of each group."""
+    return survivors.provenance(load(spark, sf_dir, "source_events"), load(spark, sf_dir, "canonical_event_sources"), load(spark, sf_dir, "places"))
+
+
+def p5_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One surviving record per group, with the provenance of its fields."""
+    return survivors.survivors(load(spark, sf_dir, "source_events"), load(spark, sf_dir, "canonical_event_sources"), load(spark, sf_dir, "places"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id_a, id_b) of records that write one place in different ways."""
     return addresses.same_places(load(spark, sf_dir, "source_events"), load(spark, sf_dir, "places"))
@@ -71,7 +81,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.sentence_offsets(load(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p4_found": p4_found, "p3_found": p3_found, "p3_matches": p3_matches, "p6_found": p6_found, "p1_found": p1_found, "p10_found": p10_found, "p2_found": p2_found, "p8_ids": p8_ids, "p9_found": p9_found, "p9_shares": p9_shares, "p9_uses": p9_uses}
+QUERIES = {"p5_found": p5_found, "p5_survivors": p5_survivors, "p4_found": p4_found, "p3_found": p3_found, "p3_matches": p3_matches, "p6_found": p6_found, "p1_found": p1_found, "p10_found": p10_found, "p2_found": p2_found, "p8_ids": p8_ids, "p9_found": p9_found, "p9_shares": p9_shares, "p9_uses": p9_uses}
 
 SQL = {
     "p2_found": """

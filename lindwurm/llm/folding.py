@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # UTF-8 read as Latin-1, entities, umlauts and look-alike marks.
-MOJIBAKE = [("Ã¤", "ä"), ("Ã¶", "ö"), ("Ã¼", "ü"), ("ÃŸ", "ß"), ("Ã\u009f", "ß"), ("Ã„", "Ä"), ("Ã\u0084", "Ä"), ("Ã–", "Ö"), ("Ã\u0096", "Ö"), ("Ãœ", "Ü"), ("Ã\u009c", "Ü"), ("Ã©", "é"), ("â€“", "–"), ("â€ž", "„"), ("â€œ", "“"), ("â€¦", "…"), ("Â ", " "), ("&amp;", "&"), ("&nbsp;", " "), ("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&#39;", "'"), ("&auml;", "ä"), ("&ouml;", "ö"), ("&uuml;", "ü"), ("&szlig;", "ß"), ("&Auml;", "Ä"), ("&Ouml;", "Ö"), ("&Uuml;", "Ü")]
+MOJIBAKE = [("Ã¤", "ä"), ("Ã¶", "ö"), ("Ã¼", "ü"), ("ÃŸ", "ß"), ("Ã\u009f", "ß"), ("Ã„", "Ä"), ("Ã\u0084", "Ä"), ("Ã–", "Ö"), ("Ã\u0096", "Ö"), ("Ãœ", "Ü"), ("Ã\u009c", "Ü"), ("Ã©", "é"), ("â€“", "–"), ("â€ž", "„"), ("â€œ", "“"), ("â€¦", "…"), ("Â ", " "), ("â\u0080\u0093", "–"), ("â\u0080\u009e", "„"), ("â\u0080\u009c", "“"), ("â\u0080\u00a6", "…"), ("&amp;", "&"), ("&nbsp;", " "), ("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&#39;", "'"), ("&auml;", "ä"), ("&ouml;", "ö"), ("&uuml;", "ü"), ("&szlig;", "ß"), ("&Auml;", "Ä"), ("&Ouml;", "Ö"), ("&Uuml;", "Ü")]
 ACCENTED, PLAIN = "áàâãåéèêëíìîïóòôõúùûýçñ", "aaaaaeeeeiiiioooouuuycn"
 
 

@@ -11,6 +11,14 @@ from lindwurm.functions import scores
 FIELDS = ["id", "title", "short_description", "description", "location_name", "geo_latitude", "geo_longitude", "geo_confidence", "source_code", "source_type", "categories", "dates"]
 
 
+def one_per_id(events: DataFrame) -> DataFrame:
+    """One row per id: that of the smallest file, where an id was delivered again."""
+    if "file_ingestion_id" not in events.columns:
+        return events.dropDuplicates(["id"])
+    rows = events.where("id is not null").groupBy("id").agg(F.min_by(F.struct(*events.columns), F.struct(F.col("file_ingestion_id"), F.xxhash64("categories") if "categories" in events.columns else F.lit(0))).alias("x"))
+    return rows.select("x.*")
+
+
 def candidate_pairs(events: DataFrame, *, cross_source: bool = False) -> DataFrame:
     """(id_a, id_b) with id_a < id_b of ids that share a blocking key, each once.
 
@@ -27,7 +35,7 @@ def candidate_pairs(events: DataFrame, *, cross_source: bool = False) -> DataFra
 
 def with_records(pairs: DataFrame, events: DataFrame) -> DataFrame:
     """Pairs with the records of both ids as structs a and b; pairs with a missing side drop out."""
-    own = events.select(*[c for c in FIELDS if c in events.columns]).dropDuplicates(["id"])
+    own = one_per_id(events.select(*[c for c in [*FIELDS, "file_ingestion_id"] if c in events.columns])).select(*[c for c in FIELDS if c in events.columns])
     left = own.select(F.col("id").alias("id_a"), F.struct(*own.columns).alias("a"))
     right = own.select(F.col("id").alias("id_b"), F.struct(*own.columns).alias("b"))
     return pairs.join(left, "id_a").join(right, "id_b")

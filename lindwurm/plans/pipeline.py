@@ -32,7 +32,7 @@ def from_decisions(events: DataFrame, decisions: DataFrame, config: dict = DEFAU
     label = graph.components(decisions.where("decision = 'match'"), events)
     days = events.select("id", F.explode("dates.date").alias("day"))
     report = graph.cluster_report(label, decisions.withColumnRenamed("combined_score", "score"), days, config)
-    members = events.dropDuplicates(["id"]).join(label, "id")
+    members = pairs.one_per_id(events).join(label, "id")
     records = survivorship.synthesize(members).join(report.select("cluster", F.col("confidence").alias("match_confidence"), F.col("flagged").alias("needs_review"), "ai_assisted"), "cluster")
     return Outcome(decisions, label, report, records)
 

@@ -242,11 +242,11 @@ def within_distance(points: DataFrame, centres: DataFrame, *, key: str, lat: str
 
     def meet(own: pd.DataFrame, regions: pd.DataFrame) -> pd.DataFrame:
         if not len(own) or not len(regions):
-            return pd.DataFrame({"p_key": [], "r_key": []})
+            return _met(own["p_key"], regions["r_key"], [])
         tree = LocalTree(unit_vectors(own["p_lat"].to_numpy(), own["p_lon"].to_numpy()))
         centre = unit_vectors(regions["lat"].to_numpy(), regions["lon"].to_numpy())
         hits = [tree.within(c, r) for c, r in zip(centre, regions["reach"])]
-        return pd.DataFrame({"p_key": own["p_key"].to_numpy()[np.concatenate(hits)], "r_key": np.repeat(regions["r_key"].to_numpy(), [len(h) for h in hits])})
+        return _met(own["p_key"], regions["r_key"], hits)
 
     return _cogrouped(_placed(points, splits, key, lat, lon), copied, meet, key_type, centre_type, key, centre_key)
 
@@ -284,15 +284,23 @@ def inside_outlines(points: DataFrame, outlines: DataFrame, *, key: str, lat: st
 
     def meet(own: pd.DataFrame, regions: pd.DataFrame) -> pd.DataFrame:
         if not len(own) or not len(regions):
-            return pd.DataFrame({"p_key": [], "r_key": []})
+            return _met(own["p_key"], regions["r_key"], [])
         la, lo = own["p_lat"].to_numpy(), own["p_lon"].to_numpy()
         by_lat = np.argsort(la, kind="stable")
         hits = [sweep_inside(lo, la, by_lat, np.column_stack([np.asarray(x, float), np.asarray(y, float)])) for x, y in zip(regions["lons"], regions["lats"])]
-        return pd.DataFrame({"p_key": own["p_key"].to_numpy()[np.concatenate(hits)], "r_key": np.repeat(regions["r_key"].to_numpy(), [len(h) for h in hits])})
+        return _met(own["p_key"], regions["r_key"], hits)
 
     return _cogrouped(_placed(points, splits, key, lat, lon), copied, meet, key_type, outline_type, key, outline_key)
 
 
+def _met(keys: pd.Series, regions: pd.Series, hits: list[np.ndarray]) -> pd.DataFrame:
+    """(p_key, r_key) of the rows each region hit."""
+    rows = np.concatenate(hits) if hits else np.empty(0, int)
+    own = keys.to_numpy(dtype=object)[rows]
+    theirs = np.repeat(regions.to_numpy(dtype=object)[: len(hits)], [len(h) for h in hits])
+    return pd.DataFrame({"p_key": pd.Series(own, dtype=object), "r_key": pd.Series(theirs, dtype=object)})
+
+
 def _cogrouped(placed: DataFrame, copied: DataFrame, meet, key_type: str, region_type: str, key: str, region_key: str) -> DataFrame:
     found = placed.groupBy("cell", "salt").cogroup(copied.groupBy("cell", "salt")).applyInPandas(meet, f"p_key {key_type}, r_key {region_type}")
     return found.distinct().select(F.col("p_key").alias(key), F.col("r_key").alias(region_key))

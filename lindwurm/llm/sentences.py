@@ -56,7 +56,6 @@ SIGNS = re.compile("[" + re.escape(TERMINATORS + "".join(OPEN_TO_CLOSE) + "".joi
 BLANK = re.compile("(?:\\r\\n|\\r|\\n)[^\\S\\r\\n]*(?:\\r\\n|\\r|\\n)\\s*|\\u2029\\s*")
 THAI = "\u0e00-\u0e7f"
 THAI_GAP = re.compile(rf"(?<=[{THAI}])\s+(?=[{THAI}])")
-LAST_WORD = re.compile(r"\S+$")
 ROMAN = re.compile(r"^[IVXLC]{1,6}$")
 CJK = re.compile(r"[぀-ヿ㐀-鿿豈-﫿가-힯]")
 #: What may follow a closing mark in an unspaced script and carry the sentence on.
@@ -284,8 +283,10 @@ def _after_terminator(text: str, here: int, begin: int, end: int, closing: dict[
 
 def _period(text: str, here: int, begin: int, end: int, at: int, word: str, spaced: bool) -> bool:
     """Whether a single period outside all marks ends its sentence."""
-    before = LAST_WORD.search(text, begin, here)
-    token = before.group().lstrip("„“\"«»([{（「‚'") if before else ""
+    back = here
+    while back > begin and not text[back - 1].isspace():
+        back -= 1
+    token = text[back:here].lstrip("„“\"«»([{（「‚'")
     letter = _first_letter(word)
     if not token or not _starts(text, at, word):
         return False
@@ -343,7 +344,7 @@ def _period(text: str, here: int, begin: int, end: int, at: int, word: str, spac
             first = re.sub(r"^\W+|\W+$", "", word).lower()
             if word[0] in QUOTES:
                 return True
-            previous = text[begin:here].split()[-2:-1]
+            previous = text[max(begin, here - 80) : here].split()[-2:-1]
             if previous and previous[0].lower().rstrip(".") in ENGLISH_MONTHS:
                 return True
             if previous and previous[0].lower().rstrip(".") in ("nr", "no", "n", "n°", "s", "p", "seite", "αρ"):

@@ -24,12 +24,12 @@ from pyspark.sql import functions as F
 LEADING = """
 dr prof hr fr frl fa fam ing dipl hptm lt st nr art abs abb bd s vgl ca rd max min. mind evtl ggf inkl exkl zzgl bzw sog geb gest tel
 z.b z. d.h d. u. i.d i. d.r h. h.c a. a.d v.a o. o.g b.w z.t z.zt zz vs ev ehem verst str. mr mrs ms gen col capt sgt rev hon approx fig p pp no vol ch
-e.g i.e cf mme mlle mm env av n art chap fig dott dott.ssa sig sig.ra sigg prof.ssa ing avv cap n. pag tel ca κ κα κκ περ αρ σελ τηλ د أ م डॉ श्री. प्रो
+e.g i.e cf mme mlle mm env égl egl av n art chap fig dott dott.ssa sig sig.ra sigg prof.ssa ing avv cap n. pag tel ca κ κα κκ περ αρ σελ τηλ د أ م डॉ श्री. प्रो
 oct sept sep nov dec jan feb mar apr jun jul aug lic phil med rer nat habil mag op hg hrsg mt sr. jg
 """.split()
 #: They may stand inside or at the end; what follows decides.
 TRAILING = """
-usw etc ecc u.ä u.a u.s.w s.u s.o a.m p.m jr sr std min sek km kg str pl jh jhd pers mio mrd og eg ug e.v g.mbh co kg inc ltd corp
+usw etc ecc mo di mi do sa so u.ä u.a u.s.w s.u s.o a.m p.m jr sr std min sek km kg str pl jh jhd pers mio mrd og eg ug e.v g.mbh co kg inc ltd corp
 κ.λπ κλπ κ.ά κ.α π.χ ά v.chr n.chr
 """.split()
 #: Months written as in English, where a day after them is no ordinal.
@@ -267,7 +267,7 @@ def _after_terminator(text: str, here: int, begin: int, end: int, closing: dict[
             if text.startswith(QUOTING, stop) and run[-1] in "！？!?":
                 return None
             return None if word[0] in "，、；：,;:" else stop
-        if not spaced and (text[at].islower() or text[at].isdigit() or text[at] in "/=&"):
+        if not spaced and (text[at].islower() or text[at].isdigit() or text[at] in "/=&" or "www." in text[max(begin, here - 200) : here].rsplit(None, 1)[-1:][0].lower()):
             return None
         return stop if _starts(text, at, word) else None
     if "…" in run or len(run) >= 2 and set(run) <= {"."}:
@@ -277,6 +277,8 @@ def _after_terminator(text: str, here: int, begin: int, end: int, closing: dict[
             return None
         if spaced and CJK.search(text[max(begin, here - 3) : here]):
             return stop
+        if _shouted(text, begin, here, word):
+            return None
         return stop if _starts(text, at, word) else None
     return stop if _period(text, here, begin, end, at, word, spaced) else None
 
@@ -305,7 +307,7 @@ def _period(text: str, here: int, begin: int, end: int, at: int, word: str, spac
     tail = token.rsplit("-", 1)[-1].rsplit("/", 1)[-1] if not token[-1].isdigit() else token
     capital = len(word) > 1 and word.rstrip(".,!?:;").isupper() and len(word.rstrip(".,!?:;")) > 1
     shouting = capital and token.isupper() and len(token) > 1
-    trailing = TRAILING_TRIE.ends(text, here, begin)
+    trailing = TRAILING_TRIE.ends(text, here, begin) or (3 if small_ending(text, here) else 0)
     leading = LEADING_TRIE.ends(text, here, begin)
     small = tail.lower()
     if trailing >= max(1, leading):
@@ -339,7 +341,7 @@ def _period(text: str, here: int, begin: int, end: int, at: int, word: str, spac
     if token[-1].isdigit():
         digits = re.search(r"\d+$", token).group()
         if re.fullmatch(r"\d{1,2}\.\d{1,2}", token):
-            return letter.isupper()
+            return letter.isupper() and not _shouted(text, begin, here, word)
         if len(digits) <= 2 and len(token) <= 3 and letter.isupper() and letter.isalpha():
             first = re.sub(r"^\W+|\W+$", "", word).lower()
             if word[0] in QUOTES:
@@ -352,11 +354,27 @@ def _period(text: str, here: int, begin: int, end: int, at: int, word: str, spac
             return first in STARTERS and first not in ("lt",)
         return True
     if ROMAN.match(tail) and letter.isupper() and len(tail) <= 5:
+        if _shouted(text, begin, here, word):
+            return False
         first = re.sub(r"\W+$", "", word).lower()
         return first in STARTERS
     return True
 
 
+def small_ending(text: str, here: int) -> bool:
+    """Whether the word before is a street name cut to 'str'."""
+    return text[max(0, here - 3) : here].lower() == "str" and here > 3 and text[here - 4].isalpha()
+
+
+def _shouted(text: str, begin: int, here: int, word: str) -> bool:
+    """Whether a sentence in capitals goes on in capitals, so that case tells nothing."""
+    bare = "".join(c for c in word if c.isalpha())
+    if len(bare) < 2 or not bare.isupper():
+        return False
+    before = "".join(c for c in text[max(begin, here - 60) : here] if c.isalpha())
+    return len(before) > 1 and before.isupper()
+
+
 def _after_closing(text: str, opened: int, here: int, begin: int, end: int, closing: dict[int, int], pairs: dict[int, int]) -> int | None:
     """End of the sentence that stops at the closing mark of an outermost pair, or None."""
     inner = text[opened + 1 : here].rstrip()

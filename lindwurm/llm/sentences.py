@@ -267,7 +267,7 @@ def _after_terminator(text: str, here: int, begin: int, end: int, closing: dict[
             if text.startswith(QUOTING, stop) and run[-1] in "！？!?":
                 return None
             return None if word[0] in "，、；：,;:" else stop
-        if not spaced and (text[at].islower() or text[at].isdigit() or text[at] in "/=&" or "www." in text[max(begin, here - 200) : here].rsplit(None, 1)[-1:][0].lower()):
+        if not spaced and (text[at].islower() or text[at].isdigit() or text[at] in "/=&" or "www." in (text[max(begin, here - 200) : here].split() or [""])[-1].lower()):
             return None
         return stop if _starts(text, at, word) else None
     if "…" in run or len(run) >= 2 and set(run) <= {"."}:

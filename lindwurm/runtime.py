@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -24,7 +26,23 @@ def local_session(cores: str | int = "*", partitions: int = 8, **conf: str) -> S
     return builder.getOrCreate()
 
 
+def ship(spark: SparkSession) -> None:
+    """Make the package importable on the workers, once per context.
+
+    The driver serves it as a zip, so that nothing need be installed there.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_lindwurm_shipped", False):
+        return
+    folder = tempfile.mkdtemp(prefix="lindwurm-package-")
+    atexit.register(shutil.rmtree, folder, True)
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    context.addPyFile(shutil.make_archive(os.path.join(folder, "lindwurm_package"), "zip", root, "lindwurm"))
+    context._lindwurm_shipped = True  # type: ignore[attr-defined]
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

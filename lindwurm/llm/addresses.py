@@ -20,9 +20,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lindwurm.llm.canonical import with_municipality
+from lindwurm.llm.canonical import combination_key, municipalities
 from lindwurm.llm.edits import osa
-from lindwurm.llm.folding import folded, squeezed
+from lindwurm.llm.folding import folded, squeezed, zip5
 from lindwurm.runtime import Scratch
 
 # Kinds of venues and how they are abbreviated.
@@ -37,7 +37,9 @@ SHORT = {
 ASIDES = {"eg", "og", "ug", "foyer", "nebenraum", "hintereingang", "vordereingang", "ortsmitte", "innenhof", "saal", "eingang"}
 NUMBER = re.compile(r"^(?:#|nr\.?|no\.?|hausnr\.?)?\s*(\d+)\s*([a-z]?)\s*(?:[-–/]\s*(\d+)\s*([a-z]?))?\s*\.?$")
 AT_END = re.compile(r"^(.*?[^\d\s])[\s,]+((?:#|nr\.?|no\.?)?\s*\d+\s?[a-z]?(?:\s?[-–/]\s?\d+\s?[a-z]?)?\.?)$")
-BANDS, ROWS = 24, 3
+#: Bands and rows of names within a municipality, and of streets within a municipality and house number.
+NAME_BANDS, NAME_ROWS = 12, 2
+LANE_BANDS, LANE_ROWS = 6, 1
 
 
 def house_number(text: str | None) -> str:
@@ -54,6 +56,13 @@ def _words(text: str) -> str:
     return re.sub(r"[a-z01]{4,}", lambda m: m.group().replace("0", "o").replace("1", "l") if len(re.sub(r"\d", "", m.group())) >= 3 else m.group(), text)
 
 
+def _bigrams(word: str) -> set[str]:
+    return {word[i : i + 2] for i in range(len(word) - 1)}
+
+
+KIND_BIGRAMS = {k: _bigrams(k) for k in KINDS}
+
+
 @lru_cache(100_000)
 def _kind(word: str) -> tuple[str, float]:
     """The kind of venue a word stands for, and how far it is from it."""
@@ -67,9 +76,11 @@ def _kind(word: str) -> tuple[str, float]:
             if k.startswith(bare):
                 return k, 0.2
     if len(bare) >= 3:
-        near = [k for k in KINDS if abs(len(k) - len(bare)) <= 2]
+        # an edit touches three pairs of letters at most
+        most, own = 1 if len(bare) < 7 else 2, _bigrams(bare)
+        near = [k for k in KINDS if abs(len(k) - len(bare)) <= most and len(KIND_BIGRAMS[k] & own) >= len(KIND_BIGRAMS[k]) - 3 * most]
         away = osa([bare] * len(near), near)
-        if len(near) and away.min() <= (1 if len(bare) < 7 else 2):
+        if len(near) and away.min() <= most:
             return near[int(away.argmin())], float(away.min())
         if word.endswith(".") and len(bare) >= 5:
             heads = [k for k in KINDS if len(k) > len(bare)]
@@ -146,7 +157,7 @@ def shingles(text: str) -> np.ndarray:
     return np.unique([ord(a) * 131 + ord(b) for a, b in zip(padded, padded[1:])])
 
 
-def signatures(texts: list[str], bands: int = BANDS, rows: int = ROWS) -> list[list[int]]:
+def signatures(texts: list[str], bands: int, rows: int) -> list[list[int]]:
     """MinHash bands of each text's q-grams."""
     random = np.random.default_rng(11)
     prime = (1 << 31) - 1
@@ -166,7 +177,7 @@ def aligned(first: list[tuple[str, ...]], second: list[tuple[str, ...]], opening
 
     A token costs nothing against itself, little against its abbreviation or
     the word it was cut from, its share of edits against a slip of itself, and
-    1.5 against another word; a gap costs ``opening`` plus ``extending`` for each
+    1.5 against another word (beyond two edits); a gap costs ``opening`` plus ``extending`` for each
     further token.
     """
     left, right, where = [], [], {}
@@ -194,57 +205,61 @@ def aligned(first: list[tuple[str, ...]], second: list[tuple[str, ...]], opening
                 if w.startswith(head) or len(head) >= 6 and osa([head], [w[: len(head)]])[0] <= 1:
                     return 0.2
         e, size = int(edits[where[x, y]]), min(len(x), len(y))
-        allowed = 0 if size < 4 else 1 if size < 7 else 2 if size < 10 else 3
+        allowed = 0 if size < 4 else 1 if size < 7 else 2
         return e / max(size, 1) if e <= allowed else 1.5
 
     out = np.empty(len(first))
     far = 99.0
     for k, (p, q) in enumerate(zip(first, second)):
-        n, m = len(p), len(q)
-        match = np.full((n + 1, m + 1), far)
-        gap_a, gap_b = match.copy(), match.copy()
-        match[0, 0] = 0
-        for i in range(n + 1):
-            for j in range(m + 1):
-                if i:
-                    gap_a[i, j] = min(match[i - 1, j] + opening, gap_a[i - 1, j] + extending, gap_b[i - 1, j] + opening)
-                if j:
-                    gap_b[i, j] = min(match[i, j - 1] + opening, gap_b[i, j - 1] + extending, gap_a[i, j - 1] + opening)
-                if i and j:
-                    match[i, j] = min(match[i - 1, j - 1], gap_a[i - 1, j - 1], gap_b[i - 1, j - 1]) + swap(p[i - 1], q[j - 1])
-        out[k] = min(match[n, m], gap_a[n, m], gap_b[n, m])
+        # rows of (aligned, gap in the first, gap in the second)
+        above = [(0.0, far, far)]
+        for j in range(len(q)):
+            above.append((far, far, min(above[j][0] + opening, above[j][2] + extending)))
+        for i, x in enumerate(p):
+            row = [(far, min(above[0][0] + opening, above[0][1] + extending), far)]
+            for j, y in enumerate(q):
+                up, left_, diagonal = above[j + 1], row[j], above[j]
+                row.append((
+                    min(diagonal) + swap(x, y),
+                    min(up[0] + opening, up[1] + extending, up[2] + opening),
+                    min(left_[0] + opening, left_[2] + extending, left_[1] + opening),
+                ))
+            above = row
+        out[k] = min(above[-1])
     return out
 
 
-def representatives(forms: DataFrame, scratch: Scratch, limit: float = 0.42) -> DataFrame:
+def representatives(forms: DataFrame, scratch: Scratch, bands: int, rows: int, limit: float = 0.42) -> DataFrame:
     """(block, first, second, rep) with the commonest form each form stands for.
 
-    ``forms`` has block, first, second (two tokens, the second may be empty)
-    and n, the records that use it. ``rep`` is an id of the form.
+    ``forms`` has block, first, second (two tokens, the first may be empty) and
+    n, the records that use it. ``rep`` is an id of the form. Pairs too far
+    apart for any alignment within the limit are dropped where they meet.
     """
     forms = scratch.put(forms.withColumn("form", F.xxhash64("block", "first", "second")))
 
     @F.pandas_udf("array<bigint>")
-    def bands(text: pd.Series) -> pd.Series:
-        return pd.Series(signatures(text.tolist()))
+    def banded(text: pd.Series) -> pd.Series:
+        return pd.Series(signatures(text.tolist(), bands, rows))
 
-    keyed = forms.select("form", F.explode(bands("second")).alias("band"), "block").select("form", F.xxhash64("block", "band").alias("bucket"))
-    pairs = keyed.alias("a").join(keyed.alias("b"), "bucket").where("a.form < b.form").select(F.col("a.form").alias("x"), F.col("b.form").alias("y")).distinct()
-    told = forms.select("form", "first", "second", "n")
-    pairs = pairs.join(told.select(F.col("form").alias("x"), F.struct("first", "second", "n").alias("xs")), "x").join(told.select(F.col("form").alias("y"), F.struct("first", "second", "n").alias("ys")), "y")
+    keyed = forms.select(F.struct("form", "first", "second", "n").alias("f"), F.explode(banded("second")).alias("band"), "block").select("f", F.xxhash64("block", "band").alias("bucket"))
+    cut = F.endswith("a.f.second", F.lit(".")) | F.endswith("b.f.second", F.lit("."))
+    # two edits are four changes of letters at most; kinds are spelt alike already
+    close = cut | (F.abs(F.length("a.f.second") - F.length("b.f.second")) <= 2) & (F.levenshtein("a.f.second", "b.f.second", 4) >= 0)
+    close = close & ((F.col("a.f.first") == F.col("b.f.first")) | (F.col("a.f.first") == "") | (F.col("b.f.first") == ""))
+    pairs = keyed.alias("a").join(keyed.alias("b"), "bucket").where("a.f.form < b.f.form").where(close).select(F.col("a.f").alias("x"), F.col("b.f").alias("y")).distinct()
 
     @F.pandas_udf("double")
     def cost(a1: pd.Series, a2: pd.Series, b1: pd.Series, b2: pd.Series) -> pd.Series:
         return pd.Series(aligned(list(zip(a1, a2)), list(zip(b1, b2))))
 
-    good = scratch.put(pairs.withColumn("cost", cost("xs.first", "xs.second", "ys.first", "ys.second")).where(F.col("cost") <= limit).select("x", "y", F.col("xs.n").alias("xn"), F.col("ys.n").alias("yn")))
-    links = good.select("x", F.struct(F.col("yn").alias("n"), F.col("y").alias("form")).alias("best")).unionByName(good.select(F.col("y").alias("x"), F.struct(F.col("xn").alias("n"), F.col("x").alias("form")).alias("best")))
-    links = links.unionByName(forms.select(F.col("form").alias("x"), F.struct("n", "form").alias("best")))
-    hop = scratch.put(links.groupBy("x").agg(F.max("best.form").alias("any"), F.max("best").alias("best")).select("x", F.col("best.form").alias("rep")))
+    good = scratch.put(pairs.withColumn("cost", cost("x.first", "x.second", "y.first", "y.second")).where(F.col("cost") <= limit).select("x.form", F.col("y.form").alias("other"), F.col("x.n").alias("xn"), F.col("y.n").alias("yn")))
+    links = good.select("form", F.struct(F.col("yn").alias("n"), F.col("other").alias("form")).alias("best")).unionByName(good.select(F.col("other").alias("form"), F.struct(F.col("xn").alias("n"), F.col("form").alias("form")).alias("best")))
+    links = links.unionByName(forms.select("form", F.struct("n", "form").alias("best")))
+    hop = scratch.put(links.groupBy("form").agg(F.max("best").alias("best")).select(F.col("form").alias("x"), F.col("best.form").alias("rep")))
     for _ in range(2):  # the representative of a representative
         hop = hop.alias("h").join(hop.alias("g"), F.col("h.rep") == F.col("g.x")).select("h.x", "g.rep")
-    hop = scratch.put(hop)
-    return forms.join(hop, forms["form"] == hop["x"]).select("block", "first", "second", "rep")
+    return scratch.put(forms.join(hop, forms["form"] == hop["x"]).select("block", "first", "second", "rep"))
 
 
 def places_of(events: DataFrame, reference: DataFrame, scratch: Scratch) -> DataFrame:
@@ -254,23 +269,23 @@ def places_of(events: DataFrame, reference: DataFrame, scratch: Scratch) -> Data
     the four address fields as delivered.
     """
     fields = ["location_name", "location_street", "location_street_no", "location_zipcode"]
-    columns = ["id", *fields, "location_city", "location_district", "geo_latitude", "geo_longitude"]
-    one = events.select(*columns).dropDuplicates(["id"])
-    own = with_municipality(one, reference, scratch)
-    own = own.select("id", "muni", F.xxhash64(*[F.coalesce(F.concat(F.lit("="), F.col(f)), F.lit("")) for f in fields]).alias("raw"), *[folded(squeezed(F.col(f))).alias(f) for f in fields[:3]])
 
     @F.pandas_udf("struct<kind:string,stem:string,lane:string,number:string>")
     def read(name: pd.Series, road: pd.Series, number: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([parts(*x) for x in zip(name, road, number)], columns=["kind", "stem", "lane", "number"])
-
-    told = scratch.put(own.withColumn("p", read(*fields[:3])).select("id", "muni", "raw", "p.*"))
+        return pd.DataFrame([parts(*x) for x in zip(name, road, number)], columns=["kind", "stem", "lane", "number"], dtype=object)
+
+    # read before any shuffle, so that only short columns travel
+    own = events.where("id is not null").select(
+        "id", combination_key(F.col("location_city"), F.col("location_district"), zip5(F.col("location_zipcode"))).alias("combo"),
+        F.xxhash64(*[F.coalesce(F.concat(F.lit("="), F.col(f)), F.lit("")) for f in fields]).alias("raw"),
+        read(*[folded(squeezed(F.col(f))) for f in fields[:3]]).alias("p"),
+    ).select("id", "combo", "raw", "p.*").dropDuplicates(["id"])
+    told = scratch.put(own.join(municipalities(events, reference, scratch), "combo", "left").drop("combo"))
     known = told.where("muni is not null")
     names = known.where("stem <> ''").groupBy(F.col("muni").alias("block"), F.col("kind").alias("first"), F.col("stem").alias("second")).agg(F.count(F.lit(1)).alias("n"))
     lanes = known.where("lane <> '' and number <> ''").groupBy(F.concat_ws("|", "muni", "number").alias("block"), F.lit("").alias("first"), F.col("lane").alias("second")).agg(F.count(F.lit(1)).alias("n"))
-    reps = representatives(names.withColumn("side", F.lit(0)).drop("side").unionByName(lanes), scratch)
-    reps = scratch.put(reps)
-    by_name = reps.select(F.col("block").alias("muni"), F.col("first").alias("kind"), F.col("second").alias("stem"), F.col("rep").alias("name_rep"))
-    by_lane = reps.where("first = ''").select(F.col("block").alias("lane_block"), F.col("second").alias("lane"), F.col("rep").alias("lane_rep"))
+    by_name = representatives(names, scratch, NAME_BANDS, NAME_ROWS).select(F.col("block").alias("muni"), F.col("first").alias("kind"), F.col("second").alias("stem"), F.col("rep").alias("name_rep"))
+    by_lane = representatives(lanes, scratch, LANE_BANDS, LANE_ROWS).select(F.col("block").alias("lane_block"), F.col("second").alias("lane"), F.col("rep").alias("lane_rep"))
     tied = told.withColumn("lane_block", F.concat_ws("|", "muni", "number")).join(by_name, ["muni", "kind", "stem"], "left").join(by_lane, ["lane_block", "lane"], "left").drop("lane_block")
     tied = scratch.put(tied)
     usual = (

@@ -9,9 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lindwurm.llm.addresses import places_of
+from lindwurm.llm.addresses import KINDS, places_of
 from lindwurm.llm.canonical import tokens_of
-from lindwurm.llm.folding import folded
+from lindwurm.llm.folding import folded, repaired
 from lindwurm.runtime import Scratch
 
 #: A word is telling if at most this share of the listings use it (or TELLING_ROWS of them).
@@ -25,6 +25,14 @@ def plain(text: Column) -> Column:
     return F.regexp_replace(folded(F.coalesce(text, F.lit(""))), "<[^>]*>|&[a-z]{2,6};?|&#[0-9]+;?", " ")
 
 
+def letters(text: Column) -> Column:
+    """Mended text in small letters with umlauts spelt out: enough to read its words."""
+    low = F.lower(repaired(F.coalesce(text, F.lit(""))))
+    for mark, plain_ in (("ä", "ae"), ("ö", "oe"), ("ü", "ue"), ("ß", "ss")):
+        low = F.replace(low, F.lit(mark), F.lit(plain_))
+    return low
+
+
 def minutes(time: Column) -> Column:
     """Minutes since midnight of H:M[:S], else null."""
     hour, minute = F.regexp_extract(time, r"^\s*(\d{1,2})[:.](\d{2})", 1), F.regexp_extract(time, r"^\s*(\d{1,2})[:.](\d{2})", 2)
@@ -52,43 +60,42 @@ def common_words(texts: DataFrame, rows: int, column: str) -> list[str]:
 
 
 def features(events: DataFrame, reference: DataFrame, scratch: Scratch) -> DataFrame:
-    """One row per id: id, source, muni, place, number, days, title, title_words, words, lat, lon.
+    """One row per id: id, source, muni, place, number, days, title_words, words, lat, lon.
 
     ``title_words`` and ``words`` (of all texts) hold the telling words, without
-    those of the listing's own place. Rows without an id are left out.
+    those of the listing's own place. Rows without an id are left out. Texts
+    are read where they are scanned; only their telling words are shuffled.
     """
-    one = events.where("id is not null").dropDuplicates(["id"])
-    located = scratch.put(places_of(one, reference, scratch))
-    venues = located.where("place is not null and stem <> ''").groupBy("place", "stem").count().groupBy("place").agg(F.max_by("stem", F.struct("count", "stem")).alias("venue"))
-    cities = reference.where("kind = 'city'").select(F.concat(F.lit("c"), F.col("place_id").cast("string")).alias("muni"), F.array_join(tokens_of(F.col("name")), " ").alias("called"))
-    texts = one.select(
-        "id", F.col("source_code").alias("source"), days(F.col("dates")).alias("days"), plain(F.col("title")).alias("title"),
-        F.concat_ws(" . ", plain(F.col("short_description")), plain(F.col("description"))).alias("body"),
-        F.when(F.col("geo_latitude").between(-90, 90) & (F.abs("geo_latitude") > 1), F.col("geo_latitude")).alias("lat"),
-        F.when(F.col("geo_longitude").between(-180, 180) & (F.abs("geo_longitude") > 1), F.col("geo_longitude")).alias("lon"),
-    )
-    texts = scratch.put(texts)
-    rows = texts.count()
-    frequent = set(common_words(texts.select(F.concat_ws(" . ", "title", "body").alias("text")), rows, "text"))
-    sent = events.sparkSession.sparkContext.broadcast(frozenset(frequent))
-    found = re.compile(WORD)
+    own = events.where("id is not null")
+    title, body = plain(F.col("title")), letters(F.concat_ws(" . ", "short_description", "description"))
+    rows = own.count()
+    common = frozenset(common_words(own.select(F.concat_ws(" . ", title, body).alias("text")), rows, "text"))
+    sent = events.sparkSession.sparkContext.broadcast(common)
+    found, named = re.compile(WORD), re.compile(r"\bim ([a-z]+) ([a-z]{5,})")
 
     @F.pandas_udf("struct<title_words:array<string>,words:array<string>>")
-    def telling(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
-        common = sent.value
-        for title, body, venue, called, lane in batches:
+    def telling(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        known = sent.value
+        for titles, bodies in batches:
             out = []
-            for t, b, v, c, l in zip(title, body, venue, called, lane):
-                own = {w for w in (v, l, *(c or "").split()) if w}
-                heads = tuple(w[:8] for w in own if len(w) >= 6)
-                keep = lambda w: w not in common and w not in own and not w.startswith(heads)
-                first = [w for w in dict.fromkeys(found.findall(t)) if keep(w)]
-                out.append((first, list(dict.fromkeys(first + [w for w in found.findall(b) if keep(w)]))))
-            yield pd.DataFrame(out, columns=["title_words", "words"])
-
-    joined = (
-        texts.join(located.select("id", "muni", "place", "number", "lane"), "id", "left").join(venues, "place", "left").join(cities, "muni", "left")
-        .withColumn("called", F.coalesce("called", F.substring("muni", 2, 1000)))
+            for t, b in zip(titles, bodies):
+                first = [w for w in dict.fromkeys(found.findall(t)) if w not in known]
+                venues = {w for kind, w in named.findall(b) if kind in KINDS}
+                out.append((first, list(dict.fromkeys(first + [w for w in found.findall(b) if w not in known and w not in venues]))))
+            yield pd.DataFrame(out, columns=["title_words", "words"], dtype=object)
+
+    texts = own.select(
+        "id", F.col("source_code").alias("source"), days(F.col("dates")).alias("days"), telling(title, body).alias("w"),
+        F.when(F.col("geo_latitude").between(-90, 90) & (F.abs("geo_latitude") > 1), F.col("geo_latitude").cast("float")).alias("lat"),
+        F.when(F.col("geo_longitude").between(-180, 180) & (F.abs("geo_longitude") > 1), F.col("geo_longitude").cast("float")).alias("lon"),
+    )
+    located = scratch.put(places_of(events, reference, scratch))
+    venues = located.where("place is not null and stem <> ''").groupBy("place", "stem").count().groupBy("place").agg(F.max_by("stem", F.struct("count", "stem")).alias("venue"))
+    cities = reference.where("kind = 'city'").select(F.concat(F.lit("c"), F.col("place_id").cast("string")).alias("muni"), F.array_join(tokens_of(F.col("name")), " ").alias("called"))
+    here = located.join(venues, "place", "left").join(cities, "muni", "left").select(
+        "id", "muni", "place", "number",
+        F.filter(F.concat(F.array("venue", "lane"), F.split(F.coalesce("called", F.substring("muni", 2, 1000)), " ")), lambda w: F.length(w) >= 5).alias("around"),
     )
-    told = joined.withColumn("w", telling("title", "body", "venue", "called", "lane"))
-    return scratch.put(told.select("id", "source", "muni", "place", "number", "days", "title", F.col("w.title_words").alias("title_words"), F.col("w.words").alias("words"), "lat", "lon"))
+    foreign = lambda words: F.filter(words, lambda w: ~F.exists(F.coalesce("around", F.array().cast("array<string>")), lambda o: F.startswith(w, F.substring(o, 1, 8))))
+    joined = texts.join(here, "id", "left").dropDuplicates(["id"])
+    return scratch.put(joined.select("id", "source", "muni", "place", "number", "days", foreign(F.col("w.title_words")).alias("title_words"), foreign(F.col("w.words")).alias("words"), "lat", "lon"))

@@ -28,6 +28,8 @@ from lindwurm.runtime import Scratch
 #: Edits within which strings count as near: for short and for longer ones.
 SHORT_EDITS, LONG_EDITS, LONG_FROM = 2, 3, 18
 SEGMENTS = LONG_EDITS + 1
+#: Listings of a scope up to which all its pairs are compared; larger scopes are probed by segments. Both find the same.
+PAIRED_ROWS = 64
 #: A title that more listings than this carry says nothing about the occasion by itself.
 GENERIC_ROWS = 12
 # Remarks put before or after a title.
@@ -80,6 +82,8 @@ def probe_keys(text: str, longer: bool = True) -> list[int]:
             high = min(own - size, at + i, at + delta + (SEGMENTS - 1 - i), at + k)
             for start in range(low, high + 1):
                 found.add(_key(text[start : start + size], length, i))
+                if start and size:  # neighbours swapped across the border before it
+                    found.add(_key(text[start - 1] + text[start + 1 : start + size], length, i))
     return list(found)
 
 
@@ -100,10 +104,25 @@ def probe(strings: DataFrame, stored: DataFrame, longer: bool = True) -> DataFra
     """(ref, hit, edits) of strings and stored strings of one scope within reach.
 
     Texts of equal content meet at distance 0. Swapped neighbours count as one
-    edit in the verification.
+    edit.
     """
     probes = strings.select(F.explode(_keys(partial(probe_keys, longer=longer))("text")).alias("key"), "scope", "text", "ref").select(F.xxhash64("scope", "key").alias("bucket"), F.col("text").alias("own"), "ref")
     met = probes.join(stored.select("bucket", F.col("text").alias("kept"), F.col("ref").alias("hit")), "bucket").where("ref <> hit").select("ref", "hit", "own", "kept").distinct()
+    return _within(met)
+
+
+def paired(strings: DataFrame) -> DataFrame:
+    """What ``probe`` finds among the strings themselves (ref < hit), by comparing all of a scope."""
+    limit = F.when(F.greatest(F.length("own"), F.length("kept")) < LONG_FROM, SHORT_EDITS).otherwise(LONG_EDITS)
+    a, b = strings.select("scope", "ref", F.col("text").alias("own")), strings.select("scope", F.col("ref").alias("hit"), F.col("text").alias("kept"))
+    met = a.join(b, "scope").where((F.col("ref") < F.col("hit")) & (F.abs(F.length("own") - F.length("kept")) <= limit))
+    # a swap is two plain edits
+    rough = F.levenshtein("own", "kept", 2 * LONG_EDITS)
+    return _within(met.where((F.col("own") == F.col("kept")) | rough.between(0, 2 * limit)).select("ref", "hit", "own", "kept").distinct())
+
+
+def _within(met: DataFrame) -> DataFrame:
+    """(ref, hit, edits) of the pairs (ref, hit, own, kept) whose texts lie within reach."""
 
     @F.pandas_udf(IntegerType())
     def distance(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -146,13 +165,12 @@ def bare_title(title: Column) -> Column:
     return F.when(rest != "", rest).otherwise(F.regexp_replace(text, "[^a-z0-9]+", ""))
 
 
-def repeats(events: DataFrame, files: DataFrame) -> DataFrame:
+def repeats(events: DataFrame, files: DataFrame, *, paired_rows: int = PAIRED_ROWS) -> DataFrame:
     """(file_ingestion_id, id, first_id) of rows that repeat an accepted listing.
 
-    Listings of one source repeat each other if they have a day in common and
-    on it the start and the postcode (else the town), or the place, or the text;
-    titles within reach of each other; and enough equal fields (place, street,
-    town, postcode, text). Equal ids always do. ``first_id`` is the id in
+    Listings of one source repeat each other if they have a day in common,
+    titles within reach of each other, and enough equal fields (place, street,
+    town, postcode, text, start). Equal ids always do. ``first_id`` is the id in
     the earliest such file, the smallest if a file holds several. Only
     completed files count; rows of no such file or without id or source give
     nothing. A null title repeats only under its own id.
@@ -168,20 +186,28 @@ def repeats(events: DataFrame, files: DataFrame) -> DataFrame:
             "id", F.concat_ws("|", "source_code", "id").alias("ref"), "source_code", bare_title(F.col("title")).alias("text"), days(F.col("dates")).alias("days"),
             letters("location_name").alias("place"), F.regexp_replace(letters("location_street"), "[0-9]+", "").alias("road"), letters("location_city").alias("town"), zip5(F.col("location_zipcode")).alias("code"),
             F.when(F.col("description").isNotNull() & (text != ""), F.xxhash64(text)).alias("body"),
-        ).dropDuplicates(["ref"])
+        ).dropDuplicates(["ref"]).withColumn("no", F.monotonically_increasing_id())
     )
-    # one scope per way in which two listings of a day may lie close together
-    town = F.when(F.col("code") != "", F.col("code")).otherwise(F.col("town"))
+    # one scope per least set of equal fields that can give the points a link needs (two): no pair that the points accept is kept apart
     day, start = F.col("d.day").cast("string"), F.coalesce(F.col("d.start").cast("string"), F.lit("-"))
-    ways = F.array(F.concat_ws("|", F.lit("t"), start, town), F.when(F.col("place") != "", F.concat_ws("|", F.lit("p"), "place")), F.when(F.col("body").isNotNull(), F.concat_ws("|", F.lit("b"), "body")))
-    scoped = told.where("text <> ''").withColumn("d", F.explode("days")).select("ref", "text", "source_code", day.alias("day"), F.explode(F.array_compact(ways)).alias("way")).select("ref", "text", F.xxhash64("source_code", "day", "way").alias("scope")).distinct()
-    alone = scoped.groupBy("scope").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("scope")
-    strings = scratch.put(scoped.join(alone, "scope"))
-    near = probe(strings, segments(strings), longer=False).select(F.least("ref", "hit").alias("ref"), F.greatest("ref", "hit").alias("hit")).distinct()
+    told_town, told_code = F.col("town") != "", F.col("code") != ""
+    way = lambda kind, there, *fields: F.when(there, F.concat_ws("|", F.lit(kind), *fields))
+    ways = F.array(
+        way("p", F.col("place") != "", "place"), way("r", F.col("road") != "", "road"), way("b", F.col("body").isNotNull(), "body"),
+        way("tc", told_town & told_code, "town", "code"), way("ts", told_town, "town", start), way("cs", told_code, "code", start),
+    )
+    scoped = told.where("text <> ''").withColumn("d", F.explode("days")).select("no", "source_code", day.alias("day"), F.explode(F.array_compact(ways)).alias("way")).select("no", F.xxhash64("source_code", "day", "way").alias("scope")).distinct()
+    # scopes that hold the same listings (several days, place and street) give the same pairs: one of them is probed
+    held = scoped.groupBy("scope").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("no")).alias("x"), F.bit_xor(F.xxhash64(F.lit("|"), "no")).alias("y")).where("n > 1")
+    kept = held.groupBy("n", "x", "y").agg(F.min("scope").alias("scope")).select("scope", "n")
+    strings = scratch.put(scoped.join(kept, "scope").join(told.select("no", "text"), "no").select("scope", "n", "text", F.col("no").alias("ref")))
+    small, large = strings.where(F.col("n") <= paired_rows), strings.where(F.col("n") > paired_rows)
+    probed = probe(large, segments(large), longer=False).select(F.least("ref", "hit").alias("ref"), F.greatest("ref", "hit").alias("hit"))
+    near = paired(small).select("ref", "hit").unionByName(probed).distinct().select(F.col("ref").alias("no"), "hit")
     generic = told.groupBy("text").agg(F.count(F.lit(1)).alias("uses"))
-    facts = told.join(generic, "text").select("ref", "days", "place", "road", "town", "code", "body", "uses", F.length("text").alias("size"))
+    facts = told.join(generic, "text").select("no", "ref", "days", "place", "road", "town", "code", "body", "uses", F.length("text").alias("size"))
     same = lambda c: (F.col(f"a.{c}") == F.col(f"b.{c}")) & (F.col(f"a.{c}") != "")
-    both = near.join(facts.select("ref", F.struct("*").alias("a")), "ref").join(facts.select(F.col("ref").alias("hit"), F.struct("*").alias("b")), "hit")
+    both = near.join(facts.select("no", F.struct("*").alias("a")), "no").join(facts.select(F.col("no").alias("hit"), F.struct("*").alias("b")), "hit")
     start = F.size(F.array_intersect("a.days", "b.days")) > 0
     body = F.coalesce(F.col("a.body") == F.col("b.body"), F.lit(False))
     points = sum((F.when(c, w).otherwise(0) for c, w in ((same("place"), 2), (same("road"), 2), (same("town"), 1), (same("code"), 1), (body, 2), (start, 1))), F.lit(0))

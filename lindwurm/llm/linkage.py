@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
+from lindwurm.llm.components import connected_components
 from lindwurm.llm.edits import osa
 from lindwurm.llm.listings import features
 from lindwurm.runtime import Scratch
@@ -151,14 +152,9 @@ def scored(told: DataFrame, scratch: Scratch) -> DataFrame:
     return votes.join(F.broadcast(table), VOTES).select("id_a", "id_b", "source_a", "source_b", "confidence")
 
 
-def occasions(pairs: DataFrame, scratch: Scratch, rounds: int = 3) -> DataFrame:
-    """(id, occasion): the least id reached over matched pairs in a few steps."""
-    links = scratch.put(pairs.select(F.col("id_a").alias("u"), F.col("id_b").alias("v")).unionByName(pairs.select(F.col("id_b").alias("u"), F.col("id_a").alias("v"))))
-    label = scratch.put(links.groupBy("u").agg(F.min(F.least("u", "v")).alias("occasion")).withColumnRenamed("u", "id"))
-    for _ in range(rounds - 1):
-        heard = links.join(label.withColumnRenamed("id", "v"), "v").select(F.col("u").alias("id"), "occasion")
-        label = scratch.put(heard.unionByName(label).groupBy("id").agg(F.min("occasion").alias("occasion")))
-    return label
+def occasions(pairs: DataFrame) -> DataFrame:
+    """(id, occasion): the least id that a chain of matched pairs reaches, however long."""
+    return connected_components(pairs, a="id_a", b="id_b", prefix="occasions").select(F.col("node").alias("id"), F.col("component").alias("occasion"))
 
 
 def matches(events: DataFrame, reference: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
@@ -172,7 +168,7 @@ def matches(events: DataFrame, reference: DataFrame, *, threshold: float = THRES
     scratch = Scratch(events.sparkSession, "linkage")
     told = features(events, reference, scratch)
     rated = scratch.put(scored(told, scratch).where(F.col("confidence") >= threshold))
-    label = occasions(rated, scratch)
+    label = occasions(rated)  # both ends of a rated pair share it, so no such pair is lost below
     dated = label.join(told.select("id", "source", F.explode("days").alias("d")), "id").select("id", "source", "occasion", F.col("d.day").alias("day")).distinct()
     tied = dated.alias("a").join(dated.alias("b"), ["occasion", "day"]).where("a.id < b.id and a.source <> b.source").select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b")).distinct()
     return tied.join(rated.select("id_a", "id_b", "confidence"), ["id_a", "id_b"], "left")

@@ -1,6 +1,6 @@
 """Cases that an operator on listings once left out."""
 
-from lindwurm.llm import history
+from lindwurm.llm import history, linkage
 from test_listings import day, event, table
 
 LONG = "Lesung mit Kuno Drebborwetter"
@@ -35,3 +35,18 @@ def test_paired_and_probed_scopes_find_the_same(spark):
     df = spark.createDataFrame([(1, w, i) for i, w in enumerate(sorted(words))], "scope int, text string, ref int")
     probed = {(min(r["ref"], r["hit"]), max(r["ref"], r["hit"])) for r in history.probe(df, history.segments(df), longer=False).collect()}
     assert probed == {(r["ref"], r["hit"]) for r in history.paired(df).collect()}
+
+
+def test_a_long_chain_is_one_occasion(spark):
+    chain = [(f"e{i}", f"e{i + 1}") for i in range(8)]
+    df = spark.createDataFrame(chain, "id_a string, id_b string")
+    assert {tuple(r) for r in linkage.occasions(df).collect()} == {(f"e{i}", "e0") for i in range(9)}
+
+
+def test_no_rated_pair_of_a_long_chain_is_lost(spark, monkeypatch):
+    chain = [(f"e{i}", f"e{i + 1}", f"s{i % 2}", f"s{(i + 1) % 2}", 0.9) for i in range(8)]
+    told = spark.createDataFrame([(f"e{i}", f"s{i % 2}", [(f"2012-01-{i + k:02d}",) for k in (1, 2)]) for i in range(9)], "id string, source string, days array<struct<day:string>>")
+    monkeypatch.setattr(linkage, "features", lambda events, reference, scratch: told)
+    monkeypatch.setattr(linkage, "scored", lambda told, scratch: spark.createDataFrame(chain, "id_a string, id_b string, source_a string, source_b string, confidence double"))
+    got = {tuple(r) for r in linkage.matches(told, told).collect()}
+    assert got == {(a, b, c) for a, b, _, _, c in chain}

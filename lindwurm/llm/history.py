@@ -30,12 +30,15 @@ SHORT_EDITS, LONG_EDITS, LONG_FROM = 2, 3, 18
 SEGMENTS = LONG_EDITS + 1
 #: Listings of a scope up to which all its pairs are compared; larger scopes are probed by segments. Both find the same.
 PAIRED_ROWS = 64
-#: A title that more listings than this carry says nothing about the occasion by itself.
-GENERIC_ROWS = 12
 # Remarks put before or after a title.
 REMARKS_AFTER = r"\((nachtrag|abgesagt|neu)\)\s*$"
 REMARKS = r"^\s*((abgesagt|verlegt|verschoben|entfaellt|neu|termin|heute|tipp|veranstaltungstipp|aus der nachbarschaft|lokales|\+\+\+ ?neu ?\+\+\+)\s*[:|!–-]*\s*)+|\((nachtrag|abgesagt|neu)\)\s*$"
 
+# Titles that say nothing, kinds of occasions alone, and those whose names are cut off.
+EMPTY_TITLES = r"^(titel folgt|o\. ?t\.?|veranstaltung|termin|veranstaltungshinweis|unbenannte veranstaltung.*|\[?ohne titel\]?|n/?a|-|tba|n\. ?n\.?)$"
+KINDS_ALONE = r"^(konzert|markt|versammlung|theater|wanderung|vortrag|lesung|gottesdienst|ausstellung|kindertheater|sport|fasnacht|fest)$"
+NAMELESS = r"^[a-z-]+ (m|mi|mit|d|de|der|die|das|des|v|vo|von|vom|um|fuer|im|in|am)\s*(…|\.\.\.)?$|^[a-z-]+\s*(…|\.\.\.|:)$"
+
 
 def reach(length: int) -> int:
     return SHORT_EDITS if length < LONG_FROM else LONG_EDITS
@@ -165,6 +168,14 @@ def bare_title(title: Column) -> Column:
     return F.when(rest != "", rest).otherwise(F.regexp_replace(text, "[^a-z0-9]+", ""))
 
 
+def generic_title(title: Column) -> Column:
+    """Whether a title names no occasion by itself; decided from its text alone, so alike at every size."""
+    text = squeezed(plain(title))
+    bare = F.trim(F.regexp_replace(F.regexp_replace(text, REMARKS_AFTER, ""), REMARKS, ""))
+    plainest = F.trim(F.regexp_replace(bare, r"\s*\([^)]*\)\s*$", ""))
+    return (plainest == "") | F.regexp_like(text, F.lit(EMPTY_TITLES)) | F.regexp_like(plainest, F.lit("|".join((EMPTY_TITLES, KINDS_ALONE, NAMELESS))))
+
+
 def repeats(events: DataFrame, files: DataFrame, *, paired_rows: int = PAIRED_ROWS) -> DataFrame:
     """(file_ingestion_id, id, first_id) of rows that repeat an accepted listing.
 
@@ -183,7 +194,7 @@ def repeats(events: DataFrame, files: DataFrame, *, paired_rows: int = PAIRED_RO
     text = F.lower(F.translate("description", " \n\r\t\u00a0", ""))
     told = scratch.put(
         sent.select(
-            "id", F.concat_ws("|", "source_code", "id").alias("ref"), "source_code", bare_title(F.col("title")).alias("text"), days(F.col("dates")).alias("days"),
+            "id", F.concat_ws("|", "source_code", "id").alias("ref"), "source_code", bare_title(F.col("title")).alias("text"), generic_title(F.col("title")).alias("generic"), days(F.col("dates")).alias("days"),
             letters("location_name").alias("place"), F.regexp_replace(letters("location_street"), "[0-9]+", "").alias("road"), letters("location_city").alias("town"), zip5(F.col("location_zipcode")).alias("code"),
             F.when(F.col("description").isNotNull() & (text != ""), F.xxhash64(text)).alias("body"),
         ).dropDuplicates(["ref"]).withColumn("no", F.monotonically_increasing_id())
@@ -204,14 +215,13 @@ def repeats(events: DataFrame, files: DataFrame, *, paired_rows: int = PAIRED_RO
     small, large = strings.where(F.col("n") <= paired_rows), strings.where(F.col("n") > paired_rows)
     probed = probe(large, segments(large), longer=False).select(F.least("ref", "hit").alias("ref"), F.greatest("ref", "hit").alias("hit"))
     near = paired(small).select("ref", "hit").unionByName(probed).distinct().select(F.col("ref").alias("no"), "hit")
-    generic = told.groupBy("text").agg(F.count(F.lit(1)).alias("uses"))
-    facts = told.join(generic, "text").select("no", "ref", "days", "place", "road", "town", "code", "body", "uses", F.length("text").alias("size"))
+    facts = told.select("no", "ref", "days", "place", "road", "town", "code", "body", "generic", F.length("text").alias("size"))
     same = lambda c: (F.col(f"a.{c}") == F.col(f"b.{c}")) & (F.col(f"a.{c}") != "")
     both = near.join(facts.select("no", F.struct("*").alias("a")), "no").join(facts.select(F.col("no").alias("hit"), F.struct("*").alias("b")), "hit")
     start = F.size(F.array_intersect("a.days", "b.days")) > 0
     body = F.coalesce(F.col("a.body") == F.col("b.body"), F.lit(False))
     points = sum((F.when(c, w).otherwise(0) for c, w in ((same("place"), 2), (same("road"), 2), (same("town"), 1), (same("code"), 1), (body, 2), (start, 1))), F.lit(0))
-    vague = (F.greatest("a.uses", "b.uses") > GENERIC_ROWS) | (F.least("a.size", "b.size") < 10)
+    vague = F.col("a.generic") | F.col("b.generic") | (F.least("a.size", "b.size") < 10)
     linked = scratch.put(both.where(points >= F.when(vague, 5).when(F.least("a.size", "b.size") >= LONG_FROM, 2).otherwise(3)).select(F.col("a.ref").alias("u"), F.col("b.ref").alias("v")))
     label = _least(linked, scratch)
     grouped = rows.withColumn("ref", F.concat_ws("|", "source_code", "id")).join(label, "ref", "left").withColumn("listing", F.coalesce("least", "ref"))

@@ -20,7 +20,7 @@ from pyspark.sql.types import BooleanType
 
 from lindwurm.llm.edits import osa
 from lindwurm.llm.folding import folded, squeezed
-from lindwurm.llm.history import REMARKS, bare_title
+from lindwurm.llm.history import EMPTY_TITLES, KINDS_ALONE, REMARKS, bare_title
 from lindwurm.llm.listings import plain
 from lindwurm.runtime import Scratch
 
@@ -30,9 +30,7 @@ HALF_LIFE_DAYS = 30.0
 BOILERPLATE_SHARE, BOILERPLATE_ROWS = 0.035, 12
 #: Degrees around the centres of the places that still belong to their area.
 AREA_MARGIN = 0.1
-# Titles that say nothing, kinds of occasions alone, marks of cut texts.
-EMPTY_TITLES = r"^(titel folgt|o\. ?t\.?|veranstaltung|termin|veranstaltungshinweis|unbenannte veranstaltung.*|\[?ohne titel\]?|n/?a|-|tba|n\. ?n\.?)$"
-KINDS_ALONE = r"^(konzert|markt|versammlung|theater|wanderung|vortrag|lesung|gottesdienst|ausstellung|kindertheater|sport|fasnacht|fest)$"
+# Marks of cut texts.
 CUT = r"(…|\.\.\.|\[mehr\]|\(weiterlesen\)|mehr lesen|weiterlesen|»)\s*$"
 
 

@@ -50,3 +50,16 @@ def test_no_rated_pair_of_a_long_chain_is_lost(spark, monkeypatch):
     monkeypatch.setattr(linkage, "scored", lambda told, scratch: spark.createDataFrame(chain, "id_a string, id_b string, source_a string, source_b string, confidence double"))
     got = {tuple(r) for r in linkage.matches(told, told).collect()}
     assert got == {(a, b, c) for a, b, _, _, c in chain}
+
+
+def test_titles_are_generic_by_their_text_not_by_their_number(spark):
+    base = dict(source_code="s", location_city="Oberlutztal", location_zipcode="77001", dates=day("2012-02-01", "19:00"))
+    copies = [event(f"c{i:02d}", file_ingestion_id=1, title=LONG, location_name="Kino Varstann", **base) for i in range(14)]
+    vague = [event(f"v{i}", file_ingestion_id=1 + i, title="Versammlung (Details siehe Aushang am Rathaus)", location_name=name, **base) for i, name in enumerate(("Kino Holmtal", "Halle Querfelden"))]
+    assert repeats(spark, [*copies, event("late", file_ingestion_id=2, title=LONG, **base), *vague]) == {(2, "late", "c00")}
+
+
+def test_generic_titles(spark):
+    titles = ["Titel folgt", "[ohne Titel]", "Abgesagt: Markt", "Konzert (Details siehe Aushang am Rathaus)", "Orgelvesper mit…", "Termin", "Familiengottesdienst...", LONG, "Lesung mit Kuno", "Trio Grapensroth"]
+    df = spark.createDataFrame([(t,) for t in titles], "title string")
+    assert [r[0] for r in df.select(history.generic_title(df.title)).collect()] == [True] * 7 + [False] * 3

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 from pyspark.sql.utils import AnalysisException
 
+from lindwurm.llm.components import connected_components
 from lindwurm.llm.edits import osa
 from lindwurm.llm.folding import folded, squeezed, zip5
 from lindwurm.llm.listings import days, plain
@@ -223,18 +224,8 @@ def repeats(events: DataFrame, files: DataFrame, *, paired_rows: int = PAIRED_RO
     points = sum((F.when(c, w).otherwise(0) for c, w in ((same("place"), 2), (same("road"), 2), (same("town"), 1), (same("code"), 1), (body, 2), (start, 1))), F.lit(0))
     vague = F.col("a.generic") | F.col("b.generic") | (F.least("a.size", "b.size") < 10)
     linked = scratch.put(both.where(points >= F.when(vague, 5).when(F.least("a.size", "b.size") >= LONG_FROM, 2).otherwise(3)).select(F.col("a.ref").alias("u"), F.col("b.ref").alias("v")))
-    label = _least(linked, scratch)
+    label = connected_components(linked, a="u", b="v", prefix="history-groups").select(F.col("node").alias("ref"), F.col("component").alias("least"))
     grouped = rows.withColumn("ref", F.concat_ws("|", "source_code", "id")).join(label, "ref", "left").withColumn("listing", F.coalesce("least", "ref"))
     first = grouped.groupBy("listing").agg(F.min(F.struct("ingested_at", "id")).alias("first"))
     late = grouped.join(first, "listing").where(F.col("ingested_at") > F.col("first.ingested_at"))
     return late.select("file_ingestion_id", "id", F.col("first.id").alias("first_id")).distinct()
-
-
-def _least(links: DataFrame, scratch: Scratch, rounds: int = 4) -> DataFrame:
-    """(ref, least): the least ref reached over links, by rounds of least-label joins."""
-    both = scratch.put(links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
-    label = scratch.put(both.groupBy("u").agg(F.min(F.least("u", "v")).alias("least")))
-    for _ in range(rounds - 1):
-        heard = both.join(label.withColumnRenamed("u", "v"), "v").select("u", "least")
-        label = scratch.put(heard.unionByName(label).groupBy("u").agg(F.min("least").alias("least")))
-    return label.withColumnRenamed("u", "ref")

@@ -63,3 +63,11 @@ def test_generic_titles(spark):
     titles = ["Titel folgt", "[ohne Titel]", "Abgesagt: Markt", "Konzert (Details siehe Aushang am Rathaus)", "Orgelvesper mit…", "Termin", "Familiengottesdienst...", LONG, "Lesung mit Kuno", "Trio Grapensroth"]
     df = spark.createDataFrame([(t,) for t in titles], "title string")
     assert [r[0] for r in df.select(history.generic_title(df.title)).collect()] == [True] * 7 + [False] * 3
+
+
+def test_a_drifting_title_stays_one_listing(spark):
+    base = "lesungmitkunodrebborwetter"
+    titles = [("x" * 3 * i + base[3 * i :]) for i in range(8)]
+    at = dict(source_code="s", location_name="Kino Varstann", location_city="Oberlutztal", location_zipcode="77001", dates=day("2012-02-01", "19:00"))
+    rows = [event(f"a{i}", file_ingestion_id=i + 1, title=t, **at) for i, t in enumerate(titles)]
+    assert repeats(spark, rows, files=8) == {(i + 1, f"a{i}", "a0") for i in range(1, 8)}

@@ -11,12 +11,13 @@ to one row per group.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
+from pyspark.sql.types import ArrayType, BooleanType, LongType
 
 from lindwurm.llm.edits import osa
 from lindwurm.llm.folding import folded, squeezed
@@ -30,6 +31,8 @@ HALF_LIFE_DAYS = 30.0
 BOILERPLATE_SHARE, BOILERPLATE_ROWS = 0.035, 12
 #: Degrees around the centres of the places that still belong to their area.
 AREA_MARGIN = 0.1
+#: Words of a group up to which all are compared; more are joined by deletion signatures (LONG_WORD letters at most). Both find the same.
+PAIRED_WORDS, LONG_WORD = 500, 32
 # Marks of cut texts.
 CUT = r"(…|\.\.\.|\[mehr\]|\(weiterlesen\)|mehr lesen|weiterlesen|»)\s*$"
 
@@ -60,7 +63,31 @@ def trusts(events: DataFrame) -> DataFrame:
     return events.groupBy("source_code").agg((0.2 + 0.8 * F.avg(sound)).alias("trust"))
 
 
-def _slips(rows: DataFrame, scratch: Scratch) -> DataFrame:
+@F.pandas_udf(ArrayType(LongType()))
+def _signatures(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Keys of which words within the slips' edits share one: what is left after up to two deletions, the beginning, and one for all long words."""
+    def of(word: str) -> list[int]:
+        found = {"^" + word[:5]} | ({"long"} if len(word) >= LONG_WORD - 2 else set())
+        if len(word) <= LONG_WORD:
+            once = {word[:i] + word[i + 1 :] for i in range(len(word))}
+            found |= {word} | once | ({w[:i] + w[i + 1 :] for w in once for i in range(len(w))} if len(word) >= 7 else set())
+        return [zlib.crc32(f.encode()) << 31 ^ zlib.adler32(f.encode()) for f in found]
+
+    for batch in batches:
+        yield pd.Series([of(w) for w in batch], dtype=object)
+
+
+def _rivals(weak: DataFrame, strong: DataFrame, by: list[str]) -> DataFrame:
+    """(grp, word, right) of words and the better used ones that they may be slips of."""
+    met = weak.alias("w").join(strong.alias("s"), by).where(
+        "w.word <> s.word and s.uses >= w.uses and (s.uses > w.uses or s.overall > w.overall) and w.overall <= greatest(2, s.overall / 10) and abs(length(w.word) - length(s.word)) <= 6"
+    )
+    # a swap is two plain edits
+    met = met.where("(startswith(s.word, w.word) or (abs(length(w.word) - length(s.word)) <= 2 and levenshtein(w.word, s.word, 4) >= 0))")
+    return met.select("grp", F.col("w.word").alias("word"), F.col("s.word").alias("right"))
+
+
+def _slips(rows: DataFrame, scratch: Scratch, paired_words: int = PAIRED_WORDS) -> DataFrame:
     """(grp, id, field) of values with a word that the group spells otherwise.
 
     ``rows`` has grp, id, field, words. A word is a slip if a word of the same
@@ -72,12 +99,12 @@ def _slips(rows: DataFrame, scratch: Scratch) -> DataFrame:
     inside = each.select("grp", "id", "word").distinct().groupBy("grp", "word").agg(F.count(F.lit(1)).alias("uses"))
     overall = inside.groupBy("word").agg(F.sum("uses").alias("overall"))
     told = scratch.put(inside.join(overall, "word"))
-    heads = F.array_distinct(F.array(F.concat(F.lit("a"), F.substring("word", 1, 3)), F.concat(F.lit("z"), F.substring("word", -3, 3)), F.concat(F.lit("m"), F.substring("word", 2, 3))))
-    keyed = told.select("*", F.explode(heads).alias("head"))
-    weak = keyed.where("uses <= 2").alias("w")
-    pairs = weak.join(keyed.alias("s"), ["grp", "head"]).where(
-        "w.word <> s.word and s.uses >= w.uses and (s.uses > w.uses or s.overall > w.overall) and w.overall <= greatest(2, s.overall / 10) and abs(length(w.word) - length(s.word)) <= 6"
-    ).select("grp", F.col("w.word").alias("word"), F.col("s.word").alias("right")).distinct()
+    # only a word that is rare beside its group's commonest can be a slip, and only of one used twice at least
+    sized = told.join(told.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.max("overall").alias("top")), "grp")
+    weak, strong = sized.where("overall <= greatest(2, top / 10)"), sized.where("overall >= 2")
+    small = _rivals(weak.where(F.col("n") <= paired_words), strong.where(F.col("n") <= paired_words), ["grp"])
+    signed = [side.where(F.col("n") > paired_words).withColumn("key", F.explode(_signatures("word"))) for side in (weak, strong)]
+    pairs = small.unionByName(_rivals(*signed, ["grp", "key"])).distinct()
 
     @F.pandas_udf(BooleanType())
     def slipped(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:

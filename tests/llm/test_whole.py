@@ -1,6 +1,7 @@
 """Cases that an operator on listings once left out."""
 
-from lindwurm.llm import history, linkage
+from lindwurm.llm import history, linkage, survivors
+from lindwurm.runtime import Scratch
 from test_listings import day, event, table
 
 LONG = "Lesung mit Kuno Drebborwetter"
@@ -71,3 +72,15 @@ def test_a_drifting_title_stays_one_listing(spark):
     at = dict(source_code="s", location_name="Kino Varstann", location_city="Oberlutztal", location_zipcode="77001", dates=day("2012-02-01", "19:00"))
     rows = [event(f"a{i}", file_ingestion_id=i + 1, title=t, **at) for i, t in enumerate(titles)]
     assert repeats(spark, rows, files=8) == {(i + 1, f"a{i}", "a0") for i in range(1, 8)}
+
+
+def slips(spark, words, **options):
+    rows = spark.createDataFrame([(1, f"{i:02d}", "title", [w]) for i, w in enumerate(words)], "grp int, id string, field string, words array<string>")
+    return {words[int(r["id"])] for r in survivors._slips(rows, Scratch(spark, "slips"), **options).collect()}
+
+
+def test_slips_are_found_however_often_and_wherever_they_stand(spark):
+    long = "donaudampfschifffahrtsgesellschaftskapitaen"
+    words = ["drebborwetter"] * 40 + ["drebborwettter"] * 4 + ["dxebborwettexr", "rdebborwettre", "drebborw", "drxbbxrwxtter"] + [long] * 2 + ["x" + long[1:-1] + "y", "xyz" + long[3:]]
+    wrong = {"drebborwettter", "dxebborwettexr", "rdebborwettre", "drebborw", "x" + long[1:-1] + "y"}
+    assert slips(spark, words) == slips(spark, words, paired_words=0) == wrong

@@ -1,28 +1,30 @@
 """Address records that denote the same place.
 
-Each distinct address is read into a venue (kind and proper name) and a street
-with a house number, whichever fields they were written in. Within a
-municipality, MinHash banding over q-gram and token shingles proposes pairs of
-forms; an affine-gap alignment of their tokens, whose substitution costs know
+Each distinct address is read into the tokens of a venue name (the kind of
+venue first, as it is spelt) and of a street with a house number, whichever
+fields they were written in. Within a municipality, MinHash banding over token
+and q-gram shingles of the proper words proposes pairs of forms; an affine-gap
+alignment of their whole token lists, whose substitution costs know
 abbreviations, cut-off words and slips, verifies them. Every form then takes
-the place of the commonest form it aligns with, and the venue ties together
+the place of the commonest form it leads to, and the venue ties together
 records that give only a name with those that give only a street.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+import zlib
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from lindwurm.llm.canonical import combination_key, municipalities
 from lindwurm.llm.edits import osa
-from lindwurm.llm.folding import folded, squeezed, zip5
+from lindwurm.llm.folding import folded, one_row, squeezed, zip5
 from lindwurm.runtime import Scratch
 
 # Kinds of venues and how they are abbreviated.
@@ -34,12 +36,17 @@ SHORT = {
     "buecherei": "bibliothek", "bibl": "bibliothek", "gemsaal": "gemeindesaal", "senzentrum": "seniorenzentrum", "jz": "jugendhaus", "jugendzentrum": "jugendhaus",
     "schuetzenh": "schuetzenhaus", "weing": "weingut", "sh": "stadthalle", "fh": "festhalle",
 }
+# Endings of streets and how they are abbreviated.
+LANE_ENDINGS = "strasse str weg gasse allee platz ring graben ufer halde hof steig".split()
+SHORT_ENDINGS = {"str": "strasse", "pl": "platz", "al": "allee"}
 ASIDES = {"eg", "og", "ug", "foyer", "nebenraum", "hintereingang", "vordereingang", "ortsmitte", "innenhof", "saal", "eingang"}
 NUMBER = re.compile(r"^(?:#|nr\.?|no\.?|hausnr\.?)?\s*(\d+)\s*([a-z]?)\s*(?:[-–/]\s*(\d+)\s*([a-z]?))?\s*\.?$")
 AT_END = re.compile(r"^(.*?[^\d\s])[\s,]+((?:#|nr\.?|no\.?)?\s*\d+\s?[a-z]?(?:\s?[-–/]\s?\d+\s?[a-z]?)?\.?)$")
 #: Bands and rows of names within a municipality, and of streets within a municipality and house number.
 NAME_BANDS, NAME_ROWS = 12, 2
 LANE_BANDS, LANE_ROWS = 6, 1
+#: Costs of a gap in an alignment and up to which two forms are one: a gap of two tokens is within it, or one and a slip.
+OPENING, EXTENDING, LIMIT = 0.28, 0.1, 0.42
 
 
 def house_number(text: str | None) -> str:
@@ -90,9 +97,10 @@ def _kind(word: str) -> tuple[str, float]:
     return "", 9
 
 
-def venue(name: str | None) -> tuple[str, str]:
-    """(kind, proper name) of a folded venue name."""
-    text = _words(name or "")
+@lru_cache(200_000)
+def venue(name: str) -> tuple[str, str]:
+    """(kind, proper words) of a folded venue name, both as they are spelt; words are parted by blanks."""
+    text = _words(name)
     text = re.sub(r"\([^)]*\)?", " ", text)
     text = re.sub(r"^[^:]*:\s*", "", text)
     text = re.split(r"\s[–—-]\s|,", text)[0]
@@ -103,34 +111,36 @@ def venue(name: str | None) -> tuple[str, str]:
     words = re.findall(r"[a-z]+\.?", text)
     if not words:
         return "", ""
-    rated = [(_kind(w)[1], i) for i, w in enumerate(words)]
-    off, at = min(rated)
+    off, at = min((_kind(w)[1], i) for i, w in enumerate(words))
     if off > 8:
-        return "", "".join(words)
-    kind = _kind(words[at])[0]
+        return "", " ".join(words)
     rest = [w for i, w in enumerate(words) if i != at]
-    stem = max(rest, key=len).rstrip(".") if rest else ""
-    if at > 0 and not hyphen and stem.endswith("er") and len(stem) > 6:
-        stem = stem[:-2]
-    return kind, stem
+    if at > 0 and not hyphen and rest[at - 1].endswith("er") and len(rest[at - 1]) > 6:
+        rest[at - 1] = rest[at - 1][:-2]  # the adjective of a proper name
+    return words[at], " ".join(rest)
 
 
-def street(text: str | None) -> tuple[str, str]:
-    """(letters of the street, house number) of one folded piece."""
-    text = re.sub(r"\([^)]*\)?", " ", text or "").strip()
+@lru_cache(200_000)
+def street(text: str) -> tuple[str, str]:
+    """(words of the street, house number) of one folded piece; a bare ending is joined to the word before it."""
+    text = re.sub(r"\([^)]*\)?", " ", text).strip()
     text = re.sub(r"\s+(?:ecke [a-z]+|hintereingang|innenhof)(?=\s+\d|$)", "", text).strip()
     number = ""
     if found := AT_END.match(text):
         text, number = found.group(1), house_number(found.group(2))
-    text = _words(text)
-    cut = text.endswith(".") and not text.endswith("str.")
-    letters = re.sub(r"[^a-z]", "", text)
-    letters = re.sub(r"str$", "strasse", letters)
-    return letters + ("." if cut and letters else ""), number
+    words: list[str] = []
+    for word in _words(text).split():
+        cut = "." if word.endswith(".") else ""
+        word = re.sub(r"[^a-z]", "", word)
+        if words and word in LANE_ENDINGS:
+            words[-1] = words[-1].rstrip(".") + word + cut
+        elif word:
+            words.append(word + cut)
+    return " ".join(words), number
 
 
 def parts(name: str | None, road: str | None, number: str | None) -> tuple[str, str, str, str]:
-    """(kind, proper name, street, house number) from folded fields."""
+    """(kind, proper words, street, house number) from folded fields."""
     own = house_number(number)
     pieces = []
     for piece in re.sub(r"\([^)]*\)?", " ", road or "").split(","):
@@ -148,146 +158,189 @@ def parts(name: str | None, road: str | None, number: str | None) -> tuple[str,
             name = pieces[0]
         elif blank and not found and not own and _kind(pieces[-1].split()[0])[1] < 2 and len(pieces[-1].split()) > 1:
             name, lane = pieces[-1], ""
-    kind, stem = venue(name)
-    return kind, stem, lane, own
+    kind, proper = venue(name or "")
+    return kind, proper, lane, own
 
 
-def shingles(text: str) -> np.ndarray:
-    padded = f"^{text}$"
-    return np.unique([ord(a) * 131 + ord(b) for a, b in zip(padded, padded[1:])])
+def shingles(text: str) -> set[int]:
+    """Hashes of the words of a text and of their padded bigrams."""
+    found = set()
+    for word in text.split():
+        padded = f"^{word}$"
+        found |= {ord(a) * 131 + ord(b) for a, b in zip(padded, padded[1:])}
+        found.add(zlib.crc32(word.encode("utf-8", "surrogatepass")) >> 1)
+    return found
 
 
-def signatures(texts: list[str], bands: int, rows: int) -> list[list[int]]:
-    """MinHash bands of each text's q-grams."""
+def signatures(texts: list[str], bands: int, rows: int) -> np.ndarray:
+    """MinHash bands of the token and q-gram shingles of each text, one row per text."""
     random = np.random.default_rng(11)
     prime = (1 << 31) - 1
     a, b = random.integers(1, prime, bands * rows), random.integers(0, prime, bands * rows)
-    found = []
-    for text in texts:
-        least = ((a[:, None] * shingles(text)[None, :] + b[:, None]) % prime).min(1).reshape(bands, rows)
-        key = np.zeros(bands, np.int64)
-        for r in range(rows):
-            key = key * 1_000_003 + least[:, r]
-        found.append((key * 64 + np.arange(bands)).tolist())
-    return found
+    sets = [list(shingles(t)) or [0] for t in texts]
+    if not sets:
+        return np.empty((0, bands), np.int64)
+    starts = np.cumsum([0] + [len(s) for s in sets[:-1]])
+    flat = np.fromiter((x for s in sets for x in s), np.int64)
+    key = np.zeros((len(texts), bands), np.int64)
+    for r in range(rows):
+        least = np.stack([np.minimum.reduceat((a[k] * flat + b[k]) % prime, starts) for k in range(r, bands * rows, rows)], 1)
+        key = key * 1_000_003 + least
+    return key * 64 + np.arange(bands)
+
+
+def swap_costs(first: list[str], second: list[str]) -> np.ndarray:
+    """What it costs to read one token as the other.
+
+    Nothing for itself, little for its abbreviation (dictionary) or the word it
+    was cut from, its share of edits for a slip, and 1.5 for another word. A
+    token that begins with a figure is another one unless it is equal.
+    """
+    def spelled_out(word: str) -> str:
+        bare = word.rstrip(".")
+        if bare in SHORT:
+            return SHORT[bare]
+        for short, full in SHORT_ENDINGS.items():
+            if bare.endswith(short) and len(bare) > len(short) + 3:
+                return bare[: -len(short)] + full
+        return bare
+
+    left, right = [spelled_out(x) for x in first], [spelled_out(y) for y in second]
+    edits = osa(left, right)
+    size = np.array([min(len(x), len(y)) for x, y in zip(left, right)], int)
+    allowed = np.select([size < 4, size < 7], [0, 1], 2)
+    out = np.where(edits <= allowed, edits / np.maximum(size, 1), 1.5)
+    for k, (x, y) in enumerate(zip(first, second)):
+        if x == y:
+            out[k] = 0.0
+        elif x[0].isdigit() or y[0].isdigit():
+            out[k] = 9.0
+        else:
+            if left[k] != x.rstrip(".") or right[k] != y.rstrip("."):
+                out[k] += 0.1
+            for u, w in ((x, right[k]), (y, left[k])):
+                head = u.rstrip(".")
+                if u.endswith(".") and (w.startswith(head) or len(head) >= 6 and out[k] > 0.2 and osa([head], [w[: len(head)]])[0] <= 1):
+                    out[k] = min(out[k], 0.2)
+    return out
 
 
-def aligned(first: list[tuple[str, ...]], second: list[tuple[str, ...]], opening: float = 0.45, extending: float = 0.2) -> np.ndarray:
+def aligned(first: list[tuple[str, ...]], second: list[tuple[str, ...]], opening: float = OPENING, extending: float = EXTENDING) -> np.ndarray:
     """Cost of the cheapest affine-gap alignment of the tokens of each pair.
 
-    A token costs nothing against itself, little against its abbreviation or
-    the word it was cut from, its share of edits against a slip of itself, and
-    1.5 against another word (beyond two edits); a gap costs ``opening`` plus ``extending`` for each
-    further token.
+    Substitutions cost what ``swap_costs`` says, a gap ``opening`` plus
+    ``extending`` for each further token. Pairs of equal shape are aligned
+    together, cell by cell.
     """
-    left, right, where = [], [], {}
+    where: dict[tuple[str, str], int] = {}
     for p, q in zip(first, second):
         for x in p:
             for y in q:
-                if x != y and (x, y) not in where:
-                    where[x, y] = len(left)
-                    left.append(x.rstrip("."))
-                    right.append(y.rstrip("."))
-    edits = osa(left, right) if left else np.empty(0, int)
-
-    def swap(x: str, y: str) -> float:
-        if x == y:
-            return 0.0
-        if not x or not y:
-            return 0.3
-        if SHORT.get(x, x) == SHORT.get(y, y):
-            return 0.1
-        if x[0].isdigit() or y[0].isdigit():
-            return 9.0  # another number, letter included, is another place
-        for u, w in ((x, y), (y, x)):
-            if u.endswith("."):
-                head = u.rstrip(".")
-                if w.startswith(head) or len(head) >= 6 and osa([head], [w[: len(head)]])[0] <= 1:
-                    return 0.2
-        e, size = int(edits[where[x, y]]), min(len(x), len(y))
-        allowed = 0 if size < 4 else 1 if size < 7 else 2
-        return e / max(size, 1) if e <= allowed else 1.5
-
-    out = np.empty(len(first))
-    far = 99.0
+                where.setdefault((x, y), len(where))
+    swaps = swap_costs([x for x, _ in where], [y for _, y in where]) if where else np.empty(0)
+    shapes: dict[tuple[int, int], list[int]] = {}
     for k, (p, q) in enumerate(zip(first, second)):
-        # rows of (aligned, gap in the first, gap in the second)
-        above = [(0.0, far, far)]
-        for j in range(len(q)):
-            above.append((far, far, min(above[j][0] + opening, above[j][2] + extending)))
-        for i, x in enumerate(p):
-            row = [(far, min(above[0][0] + opening, above[0][1] + extending), far)]
-            for j, y in enumerate(q):
-                up, left_, diagonal = above[j + 1], row[j], above[j]
+        shapes.setdefault((len(p), len(q)), []).append(k)
+    out, far = np.empty(len(first)), 99.0
+    for (m, n), members in shapes.items():
+        cell = lambda v: np.full(len(members), float(v))
+        # per cell: last tokens aligned, gap in the second, gap in the first
+        above = [(cell(0), cell(far), cell(far))]
+        for j in range(n):
+            above.append((cell(far), cell(far), cell(opening + j * extending)))
+        for i in range(m):
+            row = [(cell(far), cell(opening + i * extending), cell(far))]
+            for j in range(n):
+                cost = swaps[[where[first[k][i], second[k][j]] for k in members]]
+                over, left, corner = above[j + 1], row[j], above[j]
                 row.append((
-                    min(diagonal) + swap(x, y),
-                    min(up[0] + opening, up[1] + extending, up[2] + opening),
-                    min(left_[0] + opening, left_[2] + extending, left_[1] + opening),
+                    np.minimum(np.minimum(corner[0], corner[1]), corner[2]) + cost,
+                    np.minimum(np.minimum(over[0], over[2]) + opening, over[1] + extending),
+                    np.minimum(np.minimum(left[0], left[1]) + opening, left[2] + extending),
                 ))
             above = row
-        out[k] = min(above[-1])
+        out[members] = np.minimum(np.minimum(above[-1][0], above[-1][1]), above[-1][2])
     return out
 
 
-def representatives(forms: DataFrame, scratch: Scratch, bands: int, rows: int, limit: float = 0.42) -> DataFrame:
-    """(block, first, second, rep) with the commonest form each form stands for.
+@F.pandas_udf(DoubleType())
+def alignment(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Cost of aligning two forms, tokens parted by blanks; each pair of a batch is aligned once."""
+    both, back = np.unique(np.char.add(np.char.add(a.to_numpy(str), "\n"), b.to_numpy(str)), return_inverse=True) if len(a) else (np.empty(0, str), np.empty(0, int))
+    pairs = [x.split("\n") for x in both]
+    costs = aligned([tuple(x.split()) for x, _ in pairs], [tuple(y.split()) for _, y in pairs])
+    return pd.Series(costs[back] if len(a) else np.empty(0))
+
 
-    ``forms`` has block, first, second (two tokens, the first may be empty) and
-    n, the records that use it. ``rep`` is an id of the form. Pairs too far
-    apart for any alignment within the limit are dropped where they meet.
+def representatives(forms: DataFrame, scratch: Scratch, bands: int, rows: int, limit: float = LIMIT) -> DataFrame:
+    """(block, form, rep) with the commonest form that each form leads to.
+
+    ``forms`` has block, form (tokens parted by blanks), key (its proper words)
+    and n, the records that use it. Keys of a block that share a band are
+    candidates, as are forms of one key; of those within the limit each form
+    follows the commonest, up to one that follows none. ``rep`` is an id.
     """
-    forms = scratch.put(forms.withColumn("form", F.xxhash64("block", "first", "second")))
+    own = scratch.put(forms.select("block", "form", "key", "n", F.xxhash64("block", "form").alias("no"), F.xxhash64("block", "key").alias("text")))
 
     @F.pandas_udf("array<bigint>")
     def banded(text: pd.Series) -> pd.Series:
-        return pd.Series(signatures(text.tolist(), bands, rows))
-
-    keyed = forms.select(F.struct("form", "first", "second", "n").alias("f"), F.explode(banded("second")).alias("band"), "block").select("f", F.xxhash64("block", "band").alias("bucket"))
-    cut = F.endswith("a.f.second", F.lit(".")) | F.endswith("b.f.second", F.lit("."))
-    # two edits are four changes of letters at most; kinds are spelt alike already
-    close = cut | (F.abs(F.length("a.f.second") - F.length("b.f.second")) <= 2) & (F.levenshtein("a.f.second", "b.f.second", 4) >= 0)
-    close = close & ((F.col("a.f.first") == F.col("b.f.first")) | (F.col("a.f.first") == "") | (F.col("b.f.first") == ""))
-    pairs = keyed.alias("a").join(keyed.alias("b"), "bucket").where("a.f.form < b.f.form").where(close).select(F.col("a.f").alias("x"), F.col("b.f").alias("y")).distinct()
-
-    @F.pandas_udf("double")
-    def cost(a1: pd.Series, a2: pd.Series, b1: pd.Series, b2: pd.Series) -> pd.Series:
-        return pd.Series(aligned(list(zip(a1, a2)), list(zip(b1, b2))))
-
-    good = scratch.put(pairs.withColumn("cost", cost("x.first", "x.second", "y.first", "y.second")).where(F.col("cost") <= limit).select("x.form", F.col("y.form").alias("other"), F.col("x.n").alias("xn"), F.col("y.n").alias("yn")))
-    links = good.select("form", F.struct(F.col("yn").alias("n"), F.col("other").alias("form")).alias("best")).unionByName(good.select(F.col("other").alias("form"), F.struct(F.col("xn").alias("n"), F.col("form").alias("form")).alias("best")))
-    links = links.unionByName(forms.select("form", F.struct("n", "form").alias("best")))
-    hop = scratch.put(links.groupBy("form").agg(F.max("best").alias("best")).select(F.col("form").alias("x"), F.col("best.form").alias("rep")))
-    for _ in range(2):  # the representative of a representative
-        hop = hop.alias("h").join(hop.alias("g"), F.col("h.rep") == F.col("g.x")).select("h.x", "g.rep")
-    return scratch.put(forms.join(hop, forms["form"] == hop["x"]).select("block", "first", "second", "rep"))
+        return pd.Series(list(signatures(text.tolist(), bands, rows)), dtype=object)
+
+    # blocks of one key need no bands
+    texts = own.groupBy("block", "key", "text").agg(F.count(F.lit(1)).alias("forms"))
+    many = own.groupBy("block").agg(F.min("text").alias("x"), F.max("text").alias("y")).where("x <> y").select("block")
+    keyed = texts.join(many, "block", "left_semi").select("block", "text", F.explode(banded("key")).alias("band")).select(F.xxhash64("block", "band").alias("bucket"), "text")
+    met = keyed.alias("a").join(keyed.alias("b"), "bucket").where("a.text < b.text").select(F.col("a.text").alias("x"), F.col("b.text").alias("y")).distinct()
+    met = met.unionByName(texts.where("forms > 1").select(F.col("text").alias("x"), F.col("text").alias("y")))
+    left = own.select(F.col("text").alias("x"), F.col("no").alias("f"), F.col("form").alias("f_form"), F.col("n").alias("f_n"))
+    right = own.select(F.col("text").alias("y"), F.col("no").alias("g"), F.col("form").alias("g_form"), F.col("n").alias("g_n"))
+    pairs = met.join(left, "x").join(right, "y").where("x <> y or f < g")
+    good = pairs.where(alignment("f_form", "g_form") <= limit).select("f", "f_n", "g", "g_n")
+    # each pair leads from the rarer to the commoner form
+    lower = (F.col("f_n") < F.col("g_n")) | (F.col("f_n") == F.col("g_n")) & (F.col("f") < F.col("g"))
+    steps = good.select(F.when(lower, F.col("f")).otherwise(F.col("g")).alias("no"), F.when(lower, F.struct(F.col("g_n").alias("n"), F.col("g").alias("to"))).otherwise(F.struct(F.col("f_n").alias("n"), F.col("f").alias("to"))).alias("step"))
+    roots = scratch.put(steps.groupBy("no").agg(F.max("step").alias("step")).select("no", F.col("step.to").alias("to")))
+    while True:  # the commonest form of the commonest form: numbers rise along every way, so the ways end
+        jumped = scratch.put(roots.alias("r").join(roots.select(F.col("no").alias("to"), F.col("to").alias("next")), "to", "left").select("r.no", F.coalesce("next", "r.to").alias("to"), F.col("next").isNotNull().alias("moved")))
+        scratch.drop(roots)
+        roots, open_ = jumped, not jumped.where("moved").isEmpty()
+        if not open_:
+            break
+    return own.join(roots.select("no", "to"), "no", "left").select("block", "form", F.coalesce("to", "no").alias("rep"))
 
 
 def places_of(events: DataFrame, reference: DataFrame, scratch: Scratch) -> DataFrame:
-    """(id, muni, place, kind, stem, lane, number, raw) of every event with a municipality.
+    """(id, muni, place, stem, lane, number, raw) of every event with a municipality.
 
-    ``place`` is null where an address says too little. ``raw`` is a hash of
-    the four address fields as delivered.
+    ``place`` is null where an address says too little. ``stem`` is the longest
+    proper word of the venue, ``lane`` the street's letters, ``raw`` a hash of
+    the four address fields as delivered. Of an id that was delivered again
+    the row of the smallest file counts.
     """
     fields = ["location_name", "location_street", "location_street_no", "location_zipcode"]
 
-    @F.pandas_udf("struct<kind:string,stem:string,lane:string,number:string>")
+    @F.pandas_udf("struct<form:string,key:string,lane:string,number:string>")
     def read(name: pd.Series, road: pd.Series, number: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([parts(*x) for x in zip(name, road, number)], columns=["kind", "stem", "lane", "number"], dtype=object)
+        out = []
+        for x in zip(name, road, number):
+            kind, proper, lane, own = parts(*x)
+            out.append((f"{kind} {proper}".strip(), proper, lane, own))
+        return pd.DataFrame(out, columns=["form", "key", "lane", "number"], dtype=object)
 
     # read before any shuffle, so that only short columns travel
     own = events.where("id is not null").select(
-        "id", combination_key(F.col("location_city"), F.col("location_district"), zip5(F.col("location_zipcode"))).alias("combo"),
+        "id", "file_ingestion_id", combination_key(F.col("location_city"), F.col("location_district"), zip5(F.col("location_zipcode"))).alias("combo"),
         F.xxhash64(*[F.coalesce(F.concat(F.lit("="), F.col(f)), F.lit("")) for f in fields]).alias("raw"),
         read(*[folded(squeezed(F.col(f))) for f in fields[:3]]).alias("p"),
-    ).select("id", "combo", "raw", "p.*").dropDuplicates(["id"])
-    told = scratch.put(own.join(municipalities(events, reference, scratch), "combo", "left").drop("combo"))
+    ).select("id", "file_ingestion_id", "raw", "combo", "p.*")
+    told = scratch.put(one_row(own, "id", "file_ingestion_id").join(municipalities(events, reference, scratch), "combo", "left").drop("combo"))
     known = told.where("muni is not null")
-    names = known.where("stem <> ''").groupBy(F.col("muni").alias("block"), F.col("kind").alias("first"), F.col("stem").alias("second")).agg(F.count(F.lit(1)).alias("n"))
-    lanes = known.where("lane <> '' and number <> ''").groupBy(F.concat_ws("|", "muni", "number").alias("block"), F.lit("").alias("first"), F.col("lane").alias("second")).agg(F.count(F.lit(1)).alias("n"))
-    by_name = representatives(names, scratch, NAME_BANDS, NAME_ROWS).select(F.col("block").alias("muni"), F.col("first").alias("kind"), F.col("second").alias("stem"), F.col("rep").alias("name_rep"))
-    by_lane = representatives(lanes, scratch, LANE_BANDS, LANE_ROWS).select(F.col("block").alias("lane_block"), F.col("second").alias("lane"), F.col("rep").alias("lane_rep"))
-    tied = told.withColumn("lane_block", F.concat_ws("|", "muni", "number")).join(by_name, ["muni", "kind", "stem"], "left").join(by_lane, ["lane_block", "lane"], "left").drop("lane_block")
-    tied = scratch.put(tied)
+    names = known.where("key <> ''").groupBy(F.col("muni").alias("block"), "form", "key").agg(F.count(F.lit(1)).alias("n"))
+    lanes = known.where("lane <> '' and number <> ''").groupBy(F.concat_ws("|", "muni", "number").alias("block"), F.col("lane").alias("form"), F.col("lane").alias("key")).agg(F.count(F.lit(1)).alias("n"))
+    by_name = representatives(names, scratch, NAME_BANDS, NAME_ROWS).select(F.col("block").alias("muni"), "form", F.col("rep").alias("name_rep"))
+    by_lane = representatives(lanes, scratch, LANE_BANDS, LANE_ROWS).select(F.col("block").alias("lane_block"), F.col("form").alias("lane"), F.col("rep").alias("lane_rep"))
+    tied = scratch.put(told.withColumn("lane_block", F.concat_ws("|", "muni", "number")).join(by_name, ["muni", "form"], "left").join(by_lane, ["lane_block", "lane"], "left").drop("lane_block"))
+    scratch.drop(told)
     usual = (
         tied.where("name_rep is not null and lane_rep is not null").groupBy("name_rep", "lane_rep", "number").count()
         .groupBy("name_rep").agg(F.max_by(F.struct("lane_rep", "number"), F.struct("count", "lane_rep")).alias("usual"))
@@ -295,7 +348,15 @@ def places_of(events: DataFrame, reference: DataFrame, scratch: Scratch) -> Data
     named = tied.join(usual, "name_rep", "left")
     agrees = (F.col("number") == "") | (F.col("number") == F.col("usual.number"))
     place = F.when(agrees & F.col("usual").isNotNull(), F.col("usual.lane_rep")).otherwise(F.coalesce("lane_rep", F.when(F.col("number") == "", F.col("name_rep"))))
-    return named.select("id", "muni", place.alias("place"), "kind", "stem", "lane", "number", "raw")
+    stem = F.aggregate(F.split("key", " "), F.lit(""), lambda a, w: F.when(F.length(w) > F.length(a), w).otherwise(a))
+    return named.select("id", "muni", place.alias("place"), F.replace(stem, F.lit("."), F.lit("")).alias("stem"), F.regexp_replace("lane", " ", "").alias("lane"), "number", "raw")
+
+
+def memberships(events: DataFrame, reference: DataFrame) -> DataFrame:
+    """(id, place_id): one row per id with a place; ``place_id`` is the smallest id there."""
+    scratch = Scratch(events.sparkSession, "memberships")
+    own = scratch.put(places_of(events, reference, scratch).where("place is not null").select("id", "place"))
+    return own.join(own.groupBy("place").agg(F.min("id").alias("place_id")), "place").select("id", "place_id")
 
 
 def same_places(events: DataFrame, reference: DataFrame) -> DataFrame:
@@ -303,7 +364,7 @@ def same_places(events: DataFrame, reference: DataFrame) -> DataFrame:
 
     At least one of the four address fields differs, null counting as a value;
     ids whose fields are all equal are no pair. Another house number, letter
-    included, is another place.
+    included, is another place. ``memberships`` says the same without pairs.
     """
     scratch = Scratch(events.sparkSession, "addresses")
     own = scratch.put(places_of(events, reference, scratch).where("place is not null").select("id", "place", "raw"))

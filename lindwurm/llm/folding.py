@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # UTF-8 read as Latin-1, entities, umlauts and look-alike marks.
@@ -45,3 +45,9 @@ def zip5(text: Column) -> Column:
     """The five digits of a postcode, or an empty string."""
     digits = F.regexp_replace(F.coalesce(text, F.lit("")), r"\D", "")
     return F.when(F.length(digits) == 5, digits).otherwise("")
+
+
+def one_row(rows: DataFrame, key: str, *order: str) -> DataFrame:
+    """One row per key: the least by the given columns and then by all others, so the choice is the same on every run."""
+    rest = [c for c in rows.columns if c != key and c not in order]
+    return rows.groupBy(key).agg(F.min(F.struct(*order, *rest)).alias("x")).select(key, *[F.col(f"x.{c}").alias(c) for c in rest])

@@ -49,6 +49,11 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return addresses.same_places(load(spark, sf_dir, "source_events"), load(spark, sf_dir, "places"))
 
 
+def p6_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, place_id) of every record with a place, by the smallest id there."""
+    return addresses.memberships(load(spark, sf_dir, "source_events"), load(spark, sf_dir, "places"))
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, ids) of every document by byte_bpe_50k."""
     return tokens.encode_texts(load(spark, sf_dir, "documents"))
@@ -81,7 +86,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.sentence_offsets(load(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p5_found": p5_found, "p5_survivors": p5_survivors, "p4_found": p4_found, "p3_found": p3_found, "p3_matches": p3_matches, "p6_found": p6_found, "p1_found": p1_found, "p10_found": p10_found, "p2_found": p2_found, "p8_ids": p8_ids, "p9_found": p9_found, "p9_shares": p9_shares, "p9_uses": p9_uses}
+QUERIES = {"p5_found": p5_found, "p5_survivors": p5_survivors, "p4_found": p4_found, "p3_found": p3_found, "p3_matches": p3_matches, "p6_found": p6_found, "p6_places": p6_places, "p1_found": p1_found, "p10_found": p10_found, "p2_found": p2_found, "p8_ids": p8_ids, "p9_found": p9_found, "p9_shares": p9_shares, "p9_uses": p9_uses}
 
 SQL = {
     "p2_found": """

@@ -5,6 +5,7 @@ import random
 import pytest
 
 from lindwurm.llm import addresses, canonical, edits, history, linkage, survivors
+from lindwurm.runtime import Scratch
 
 DATES = "array<struct<date:string,start_time:string,end_time:string,end_date:string>>"
 EVENT = f"""file_ingestion_id bigint, id string, title string, short_description string, description string, location_name string, location_city string,
@@ -96,8 +97,43 @@ def test_addresses(spark, places):
 
 
 def test_alignment_costs():
-    cost = addresses.aligned([("kino", "varstann"), ("grundschule", "a"), ("", "rosenstrasse"), ("x", "12a"), ("kino", "varstann")], [("kino", "varstan"), ("gs", "a"), ("", "rosenstr."), ("x", "12"), ("museum", "querholm")])
-    assert cost[0] < 0.2 and cost[1] <= 0.1 and cost[2] <= 0.2 and cost[3] > 0.8 and cost[4] > 1
+    pairs = [("kino varstann", "kino varstan"), ("grundschule hornberg", "gs hornberg"), ("rosenstrasse", "rosenstr."), ("halle 12a", "halle 12"), ("kino varstann", "museum querholm"), ("alte muehle varstann", "muehle varstann"), ("kino varstann", "varstann"), ("kino varstann", "museum varstann"), ("naturzentrum moos", "naturz. moos"), ("a", "b c d e f")]
+    cost = addresses.aligned([tuple(a.split()) for a, _ in pairs], [tuple(b.split()) for _, b in pairs])
+    assert [c <= addresses.LIMIT for c in cost] == [True, True, True, False, False, True, True, False, True, False]
+    assert cost[5] == cost[6] == addresses.OPENING and addresses.aligned([("x",) * 3], [("x",)])[0] == pytest.approx(addresses.OPENING + addresses.EXTENDING)
+
+
+def test_a_gap_or_an_abbreviation_alone_joins(spark, places):
+    at = dict(location_street="Glockenweg", location_street_no="12a", location_city="Oberlutztal", location_zipcode="77001")
+    for one, other, same in (("Kino Alte Varstannmuehle", "Kino Varstannmuehle", True), ("Grundschule Hornbergen", "GS Hornbergen", True), ("Grundschule Hornbergen", "SH Hornbergen", False)):
+        rows = [event("a", location_name=one, **at), event("b", location_name=other, location_city="Oberlutztal", location_zipcode="77001")]
+        assert [tuple(r) for r in addresses.same_places(table(spark, *rows), places).collect()] == [("a", "b")] * same, (one, other)
+        assert {tuple(r) for r in addresses.memberships(table(spark, *rows), places).collect()} == ({("a", "a"), ("b", "a")} if same else {("a", "a"), ("b", "b")})
+    lanes = [event("a", location_street="Rosenstraße 5", location_city="Oberlutztal"), event("b", location_street="Rosenstr. 5", location_city="Oberlutztal")]
+    assert addresses.same_places(table(spark, *lanes), places).count() == 1
+
+
+def test_a_chain_of_slips_leads_to_the_commonest_form(spark):
+    words = ["varstanngrumbach"]
+    for i in range(6):
+        words.append(words[-1][: 2 * i] + "xy" + words[-1][2 * i + 2 :])
+    forms = spark.createDataFrame([("b", w, w, 10 - i) for i, w in enumerate(words)], "block string, form string, key string, n long")
+    assert addresses.representatives(forms, Scratch(spark, "chain"), 40, 1).select("rep").distinct().count() == 1
+
+
+def test_banding_finds_what_is_within_two_edits(spark):
+    rnd = random.Random(3)
+    word = lambda: "".join(rnd.choice("abdefghiklmnorstu") for _ in range(rnd.randrange(9, 15)))
+    pairs = []
+    for _ in range(600):
+        a = word()
+        b = list(a)
+        for _ in range(rnd.choice([1, 1, 1, 2])):
+            k = rnd.randrange(len(b))
+            b[k : k + 1] = rnd.choice([[], ["x"], [b[k], "x"]])
+        pairs.append((a, "".join(b)))
+    a, b = (addresses.signatures([p[i] for p in pairs], addresses.NAME_BANDS, addresses.NAME_ROWS) for i in (0, 1))
+    assert (a == b).any(1).mean() > 0.96
 
 
 def day(d, start=None):

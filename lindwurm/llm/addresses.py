@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from lindwurm.llm.canonical import combination_key, municipalities
-from lindwurm.llm.edits import osa
+from lindwurm.llm.edits import letter_counts, osa
 from lindwurm.llm.folding import folded, one_row, squeezed, zip5
 from lindwurm.runtime import Scratch
 
@@ -49,6 +49,7 @@ LANE_BANDS, LANE_ROWS = 6, 1
 OPENING, EXTENDING, LIMIT = 0.28, 0.1, 0.42
 
 
+@lru_cache(50_000)
 def house_number(text: str | None) -> str:
     """A house number with its letter, or range, in one spelling; '' if there is none."""
     found = NUMBER.match((text or "").strip())
@@ -139,17 +140,23 @@ def street(text: str) -> tuple[str, str]:
     return " ".join(words), number
 
 
-def parts(name: str | None, road: str | None, number: str | None) -> tuple[str, str, str, str]:
-    """(kind, proper words, street, house number) from folded fields."""
-    own = house_number(number)
-    pieces = []
-    for piece in re.sub(r"\([^)]*\)?", " ", road or "").split(","):
+@lru_cache(200_000)
+def _pieces(road: str) -> tuple[tuple[str, ...], str]:
+    """The pieces of a street field that may be a street or a venue, and the house number that stands alone in it."""
+    own, pieces = "", []
+    for piece in re.sub(r"\([^)]*\)?", " ", road).split(","):
         piece = re.sub(r"^(?:ecke [a-z]+|hintereingang|vordereingang|innenhof|ortsmitte)\s+(?=\S*\d)", "", piece.strip())
         if NUMBER.match(piece):
             own = own or house_number(piece)
         elif piece and re.sub(r"[\s\d.]", "", piece) not in ASIDES and not piece.startswith("ecke "):
             pieces.append(piece)
-    lane = ""
+    return tuple(pieces), own
+
+
+def parts(name: str | None, road: str | None, number: str | None) -> tuple[str, str, str, str]:
+    """(kind, proper words, street, house number) from folded fields."""
+    pieces, alone = _pieces(road or "")
+    own, lane = house_number(number) or alone, ""
     blank = not (name or "").strip()
     if pieces:
         lane, found = street(pieces[-1])
@@ -189,39 +196,46 @@ def signatures(texts: list[str], bands: int, rows: int) -> np.ndarray:
     return key * 64 + np.arange(bands)
 
 
-def swap_costs(first: list[str], second: list[str]) -> np.ndarray:
-    """What it costs to read one token as the other.
+def _spelled_out(word: str) -> str:
+    """A token without its period, abbreviations of kinds and street endings written out."""
+    bare = word.rstrip(".")
+    if bare in SHORT:
+        return SHORT[bare]
+    for short, full in SHORT_ENDINGS.items():
+        if bare.endswith(short) and len(bare) > len(short) + 3:
+            return bare[: -len(short)] + full
+    return bare
+
+
+def swap_costs(words: list[str], first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """What it costs to read one word as another; pairs are given by their numbers in ``words``.
 
     Nothing for itself, little for its abbreviation (dictionary) or the word it
     was cut from, its share of edits for a slip, and 1.5 for another word. A
-    token that begins with a figure is another one unless it is equal.
+    word that begins with a figure is another one unless it is equal.
     """
-    def spelled_out(word: str) -> str:
-        bare = word.rstrip(".")
-        if bare in SHORT:
-            return SHORT[bare]
-        for short, full in SHORT_ENDINGS.items():
-            if bare.endswith(short) and len(bare) > len(short) + 3:
-                return bare[: -len(short)] + full
-        return bare
-
-    left, right = [spelled_out(x) for x in first], [spelled_out(y) for y in second]
-    edits = osa(left, right)
-    size = np.array([min(len(x), len(y)) for x, y in zip(left, right)], int)
+    full = [_spelled_out(w) for w in words]
+    sizes = np.array([len(w) for w in full], int)
+    short = np.array([f != w.rstrip(".") for f, w in zip(full, words)], bool)
+    cut = np.array([w.endswith(".") for w in words], bool)
+    figure = np.array([w[:1].isdigit() for w in words], bool)
+    counts = letter_counts(full).astype(np.int16)
+    size = np.minimum(sizes[first], sizes[second])
     allowed = np.select([size < 4, size < 7], [0, 1], 2)
-    out = np.where(edits <= allowed, edits / np.maximum(size, 1), 1.5)
-    for k, (x, y) in enumerate(zip(first, second)):
-        if x == y:
-            out[k] = 0.0
-        elif x[0].isdigit() or y[0].isdigit():
-            out[k] = 9.0
-        else:
-            if left[k] != x.rstrip(".") or right[k] != y.rstrip("."):
-                out[k] += 0.1
-            for u, w in ((x, right[k]), (y, left[k])):
-                head = u.rstrip(".")
-                if u.endswith(".") and (w.startswith(head) or len(head) >= 6 and out[k] > 0.2 and osa([head], [w[: len(head)]])[0] <= 1):
-                    out[k] = min(out[k], 0.2)
+    # an edit changes two letter counts at most, so no pair within reach is left out
+    near = np.flatnonzero((np.abs(sizes[first] - sizes[second]) <= allowed) & (np.abs(counts[first] - counts[second]).sum(1) <= 2 * allowed))
+    out = np.full(len(first), 1.5)
+    edits = osa([full[k] for k in first[near]], [full[k] for k in second[near]])
+    good = edits <= allowed[near]
+    out[near[good]] = edits[good] / np.maximum(size[near[good]], 1) + np.where(short[first] | short[second], 0.1, 0.0)[near[good]]
+    for k in np.flatnonzero((cut[first] | cut[second]) & (out > 0.2)):
+        x, y = int(first[k]), int(second[k])
+        for u, w in ((words[x], full[y]), (words[y], full[x])):
+            head = u.rstrip(".")
+            if u.endswith(".") and (w.startswith(head) or len(head) >= 6 and osa([head], [w[: len(head)]])[0] <= 1):
+                out[k] = 0.2
+    out[figure[first] | figure[second]] = 9.0
+    out[first == second] = 0.0
     return out
 
 
@@ -230,19 +244,20 @@ def aligned(first: list[tuple[str, ...]], second: list[tuple[str, ...]], opening
 
     Substitutions cost what ``swap_costs`` says, a gap ``opening`` plus
     ``extending`` for each further token. Pairs of equal shape are aligned
-    together, cell by cell.
+    together, cell by cell, and each pair of words is rated once.
     """
-    where: dict[tuple[str, str], int] = {}
-    for p, q in zip(first, second):
-        for x in p:
-            for y in q:
-                where.setdefault((x, y), len(where))
-    swaps = swap_costs([x for x, _ in where], [y for _, y in where]) if where else np.empty(0)
+    ids: dict[str, int] = {}
     shapes: dict[tuple[int, int], list[int]] = {}
-    for k, (p, q) in enumerate(zip(first, second)):
+    left = [[ids.setdefault(w, len(ids)) for w in p] for p in first]
+    right = [[ids.setdefault(w, len(ids)) for w in q] for q in second]
+    for k, (p, q) in enumerate(zip(left, right)):
         shapes.setdefault((len(p), len(q)), []).append(k)
-    out, far = np.empty(len(first)), 99.0
+    words, out, far = list(ids), np.empty(len(first)), 99.0
     for (m, n), members in shapes.items():
+        if m and n:
+            a, b = np.array([left[k] for k in members], np.int64), np.array([right[k] for k in members], np.int64)
+            pairs, back = np.unique(a[:, :, None] * len(words) + b[:, None, :], return_inverse=True)
+            costs = swap_costs(words, pairs // len(words), pairs % len(words))[back].reshape(len(members), m, n)
         cell = lambda v: np.full(len(members), float(v))
         # per cell: last tokens aligned, gap in the second, gap in the first
         above = [(cell(0), cell(far), cell(far))]
@@ -251,12 +266,11 @@ def aligned(first: list[tuple[str, ...]], second: list[tuple[str, ...]], opening
         for i in range(m):
             row = [(cell(far), cell(opening + i * extending), cell(far))]
             for j in range(n):
-                cost = swaps[[where[first[k][i], second[k][j]] for k in members]]
-                over, left, corner = above[j + 1], row[j], above[j]
+                over, before, corner = above[j + 1], row[j], above[j]
                 row.append((
-                    np.minimum(np.minimum(corner[0], corner[1]), corner[2]) + cost,
+                    np.minimum(np.minimum(corner[0], corner[1]), corner[2]) + costs[:, i, j],
                     np.minimum(np.minimum(over[0], over[2]) + opening, over[1] + extending),
-                    np.minimum(np.minimum(left[0], left[1]) + opening, left[2] + extending),
+                    np.minimum(np.minimum(before[0], before[1]) + opening, before[2] + extending),
                 ))
             above = row
         out[members] = np.minimum(np.minimum(above[-1][0], above[-1][1]), above[-1][2])
@@ -265,20 +279,18 @@ def aligned(first: list[tuple[str, ...]], second: list[tuple[str, ...]], opening
 
 @F.pandas_udf(DoubleType())
 def alignment(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Cost of aligning two forms, tokens parted by blanks; each pair of a batch is aligned once."""
-    both, back = np.unique(np.char.add(np.char.add(a.to_numpy(str), "\n"), b.to_numpy(str)), return_inverse=True) if len(a) else (np.empty(0, str), np.empty(0, int))
-    pairs = [x.split("\n") for x in both]
-    costs = aligned([tuple(x.split()) for x, _ in pairs], [tuple(y.split()) for _, y in pairs])
-    return pd.Series(costs[back] if len(a) else np.empty(0))
+    """Cost of aligning two forms, tokens parted by blanks."""
+    return pd.Series(aligned([x.split() for x in a], [y.split() for y in b]), dtype="float64")
 
 
 def representatives(forms: DataFrame, scratch: Scratch, bands: int, rows: int, limit: float = LIMIT) -> DataFrame:
     """(block, form, rep) with the commonest form that each form leads to.
 
     ``forms`` has block, form (tokens parted by blanks), key (its proper words)
-    and n, the records that use it. Keys of a block that share a band are
-    candidates, as are forms of one key; of those within the limit each form
-    follows the commonest, up to one that follows none. ``rep`` is an id.
+    and n, the records that use it. Keys of a block that share a band and align
+    within the limit are candidates, as are forms of one key; of those whose
+    whole token lists align within it each form follows the commonest, up to
+    one that follows none. ``rep`` is an id.
     """
     own = scratch.put(forms.select("block", "form", "key", "n", F.xxhash64("block", "form").alias("no"), F.xxhash64("block", "key").alias("text")))
 
@@ -289,9 +301,9 @@ def representatives(forms: DataFrame, scratch: Scratch, bands: int, rows: int, l
     # blocks of one key need no bands
     texts = own.groupBy("block", "key", "text").agg(F.count(F.lit(1)).alias("forms"))
     many = own.groupBy("block").agg(F.min("text").alias("x"), F.max("text").alias("y")).where("x <> y").select("block")
-    keyed = texts.join(many, "block", "left_semi").select("block", "text", F.explode(banded("key")).alias("band")).select(F.xxhash64("block", "band").alias("bucket"), "text")
-    met = keyed.alias("a").join(keyed.alias("b"), "bucket").where("a.text < b.text").select(F.col("a.text").alias("x"), F.col("b.text").alias("y")).distinct()
-    met = met.unionByName(texts.where("forms > 1").select(F.col("text").alias("x"), F.col("text").alias("y")))
+    keyed = texts.join(many, "block", "left_semi").select("block", "text", "key", F.explode(banded("key")).alias("band")).select(F.xxhash64("block", "band").alias("bucket"), "text", "key")
+    met = keyed.alias("a").join(keyed.alias("b"), "bucket").where("a.text < b.text").select(F.col("a.text").alias("x"), F.col("b.text").alias("y"), F.col("a.key").alias("x_key"), F.col("b.key").alias("y_key")).distinct()
+    met = met.where(alignment("x_key", "y_key") <= limit).select("x", "y").unionByName(texts.where("forms > 1").select(F.col("text").alias("x"), F.col("text").alias("y")))
     left = own.select(F.col("text").alias("x"), F.col("no").alias("f"), F.col("form").alias("f_form"), F.col("n").alias("f_n"))
     right = own.select(F.col("text").alias("y"), F.col("no").alias("g"), F.col("form").alias("g_form"), F.col("n").alias("g_n"))
     pairs = met.join(left, "x").join(right, "y").where("x <> y or f < g")

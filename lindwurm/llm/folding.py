@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +34,25 @@ def folded(text: Column) -> Column:
     return low
 
 
+_DAMAGE = re.compile("[ÃÂâ&]")
+_PLAIN = str.maketrans(ACCENTED, PLAIN)
+
+
+def folded_text(text: str) -> str:
+    """What ``folded`` makes of a text, for the workers."""
+    if _DAMAGE.search(text):
+        for bad, good in MOJIBAKE:
+            text = text.replace(bad, good)
+    text = text.lower()
+    if text.isascii():
+        return text
+    if "\u0308" in text:
+        text = unicodedata.normalize("NFC", text)
+    for mark, letters in (("ä", "ae"), ("ö", "oe"), ("ü", "ue"), ("ß", "ss")):
+        text = text.replace(mark, letters)
+    return text if text.isascii() else text.translate(_PLAIN)
+
+
 def digits_to_letters(text: Column) -> Column:
     """0 and 1 inside words read as the letters they look like."""
     return F.regexp_replace(F.regexp_replace(text, r"(?<=[a-z])0|0(?=[a-z])", "o"), r"(?<=[a-z])1|1(?=[a-z]{2})", "l")

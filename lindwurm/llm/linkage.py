@@ -3,12 +3,13 @@
 Candidates share a day and a place, or a day, a municipality and a telling word
 of the title. Heuristic functions vote on each (match, no match, abstain); a
 generative model learns from the agreement of the votes, over the counts of all
-vote patterns, how accurate each function is and how pairs of functions hang
+vote patterns, how accurate each function is and which functions hang
 together, and gives every pattern its posterior. No labelled row is needed.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 from dataclasses import dataclass
 
@@ -24,9 +25,9 @@ from lindwurm.llm.listings import features
 from lindwurm.runtime import Scratch
 
 VOTES = ["v_title", "v_words", "v_many", "v_start", "v_place", "v_near", "v_days"]
-#: Functions that look at the same evidence; their votes are modelled jointly.
-CORRELATED = [("v_title", "v_words", "v_many")]
 THRESHOLD = 0.5
+#: Functions whose votes hang together more than this among matches or among others are modelled jointly, TOGETHER at most.
+CORRELATION, TOGETHER = 0.3, 3
 
 
 @dataclass
@@ -77,6 +78,33 @@ def fit_label_model(patterns: list[tuple[int, ...]], counts: list[int], groups:
     return LabelModel(prior, tables)
 
 
+def correlated_groups(patterns: list[tuple[int, ...]], counts: list[int]) -> list[tuple[int, ...]]:
+    """A partition of the functions into groups whose votes hang together beyond what match or no match explains.
+
+    A model that takes the functions for independent is fitted first; pairs
+    are then joined by falling correlation within its classes. Groups stay
+    small, as one joint table of all functions would explain anything.
+    """
+    width = len(patterns[0])
+    model = fit_label_model(patterns, counts, [(i,) for i in range(width)])
+    votes, weight = np.array(patterns, float), np.array(counts, float)
+    belief = np.array([model.posterior(p) for p in patterns])
+    strength = np.zeros((width, width))
+    for share in (belief * weight, (1 - belief) * weight):
+        if share.sum() > 0:
+            centred = votes - (votes * share[:, None]).sum(0) / share.sum()
+            together = (centred * share[:, None]).T @ centred / share.sum()
+            spread = np.sqrt(np.outer(together.diagonal(), together.diagonal()))
+            strength = np.maximum(strength, np.abs(np.divide(together, spread, out=np.zeros_like(together), where=spread > 1e-9)))
+    groups = [{i} for i in range(width)]
+    for _, i, j in sorted(((-strength[i, j], i, j) for i in range(width) for j in range(i) if strength[i, j] >= CORRELATION)):
+        p, q = (next(g for g in groups if k in g) for k in (i, j))
+        if p is not q and len(p) + len(q) <= TOGETHER:
+            groups.remove(q)
+            p |= q
+    return [tuple(sorted(g)) for g in groups]
+
+
 @F.pandas_udf(IntegerType())
 def fuzzy_shared(a: pd.Series, b: pd.Series) -> pd.Series:
     """How many words of one list have a slip of themselves in the other."""
@@ -98,63 +126,56 @@ def fuzzy_shared(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def candidates(told: DataFrame) -> DataFrame:
-    """(id_a, id_b) of listings that share a day and a place, or a day, town and title word."""
-    day = told.where("muni is not null or place is not null").select("id", "muni", "place", "title_words", F.explode("days.day").alias("day"))
-    at_place = day.where("place is not null").select(F.xxhash64(F.lit("p"), "day", "place").alias("key"), "id")
-    by_word = day.select(F.explode(F.transform("title_words", lambda w: F.xxhash64(F.lit("w"), "day", "muni", w))).alias("key"), "id")
+    """(x, y), numbers of listings that share a day and a place, or a day, town and title word."""
+    day = told.where("muni is not null or place is not null").select("no", "muni", "place", "title_words", F.explode("days.day").alias("day"))
+    at_place = day.where("place is not null").select(F.xxhash64(F.lit("p"), "day", "place").alias("key"), "no")
+    by_word = day.select(F.explode(F.transform("title_words", lambda w: F.xxhash64(F.lit("w"), "day", "muni", w))).alias("key"), "no")
     keyed = at_place.unionByName(by_word).distinct()
-    return keyed.alias("a").join(keyed.alias("b"), "key").where("a.id < b.id").select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b")).distinct()
+    return keyed.alias("a").join(keyed.alias("b"), "key").where("a.no < b.no").select(F.col("a.no").alias("x"), F.col("b.no").alias("y")).distinct()
 
 
-def voted(told: DataFrame) -> DataFrame:
-    """(id_a, id_b, source_a, source_b, votes...) of each candidate pair."""
-    own = told.select("id", F.struct("id", "source", "place", "number", "title_words", "words", "lat", "lon", "days").alias("x"))
-    pairs = candidates(told).join(own.select(F.col("id").alias("id_a"), F.col("x").alias("a")), "id_a").join(own.select(F.col("id").alias("id_b"), F.col("x").alias("b")), "id_b")
+def voted(told: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(x, y, votes...) of each pair (x, y)."""
+    own = told.select("no", F.struct("place", "number", "title_words", "words", "lat", "lon", "days").alias("own"))
+    pairs = pairs.join(own.select(F.col("no").alias("x"), F.col("own").alias("a")), "x").join(own.select(F.col("no").alias("y"), F.col("own").alias("b")), "y")
     shared_title = F.size(F.array_intersect("a.title_words", "b.title_words"))
     shared = F.size(F.array_intersect("a.words", "b.words"))
     titled = (F.size("a.title_words") > 0) & (F.size("b.title_words") > 0)
     worded = (F.size("a.words") > 0) & (F.size("b.words") > 0)
     blank = F.lit(None).cast("array<string>")
-    pairs = pairs.withColumn("st", shared_title).withColumn("sw", shared)
-    pairs = pairs.withColumn("ft", fuzzy_shared(F.when((F.col("st") == 0) & titled, F.col("a.title_words")).otherwise(blank), F.col("b.title_words")))
-    pairs = pairs.withColumn("fw", fuzzy_shared(F.when((F.col("sw") == 0) & worded, F.col("a.words")).otherwise(blank), F.col("b.words")))
     # the least difference of the starts on a common day
     gap = F.array_min(F.flatten(F.transform("a.days", lambda p: F.transform(F.filter("b.days", lambda q: q["day"] == p["day"]), lambda q: F.abs(p["start"] - q["start"])))))
     apart = 111.2 * F.sqrt(F.pow(F.col("a.lat") - F.col("b.lat"), 2) + F.pow((F.col("a.lon") - F.col("b.lon")) * F.cos(F.radians("a.lat")), 2))
     same_place, other_place = F.col("a.place") == F.col("b.place"), F.col("a.place") != F.col("b.place")
     numbered = (F.col("a.number") != "") & (F.col("b.number") != "") & (F.col("a.number") != F.col("b.number"))
     vote = lambda yes, no: F.when(yes, 1).when(no, -1).otherwise(0)
-    return pairs.select(
-        "id_a", "id_b", F.col("a.source").alias("source_a"), F.col("b.source").alias("source_b"),
-        vote((F.col("st") > 0) | (F.col("ft") > 0), titled).alias("v_title"),
-        vote((F.col("sw") > 0) | (F.col("fw") > 0), worded).alias("v_words"),
-        vote(F.col("sw") + F.col("fw") >= 2, worded & (F.col("sw") + F.col("fw") == 0) & (F.size("a.words") > 2) & (F.size("b.words") > 2)).alias("v_many"),
-        vote(gap <= 35, gap > 65).alias("v_start"),
-        vote(same_place, other_place & numbered).alias("v_place"),
-        vote(apart < 2.5, (apart > 6) & (apart < 60)).alias("v_near"),
+    pairs = pairs.withColumn("st", shared_title).withColumn("sw", shared).select(
+        "x", "y", "st", "sw", titled.alias("titled"), worded.alias("worded"), ((F.size("a.words") > 2) & (F.size("b.words") > 2)).alias("several"),
+        vote(gap <= 35, gap > 65).alias("v_start"), vote(same_place, other_place & numbered).alias("v_place"), vote(apart < 2.5, (apart > 6) & (apart < 60)).alias("v_near"),
         vote(F.size("a.days") == F.size("b.days"), F.abs(F.size("a.days") - F.size("b.days")) > 1).alias("v_days"),
+        # only words that may still be slips of each other go to the workers
+        *[F.when((F.col(n) == 0) & there, F.col(f"{side}.{c}")).otherwise(blank).alias(f"{side}_{n}") for n, there, c in (("st", titled, "title_words"), ("sw", worded, "words")) for side in "ab"],
+    )
+    pairs = pairs.withColumn("ft", fuzzy_shared("a_st", "b_st")).withColumn("fw", fuzzy_shared("a_sw", "b_sw"))
+    return pairs.select(
+        "x", "y", vote((F.col("st") > 0) | (F.col("ft") > 0), F.col("titled")).alias("v_title"), vote((F.col("sw") > 0) | (F.col("fw") > 0), F.col("worded")).alias("v_words"),
+        vote(F.col("sw") + F.col("fw") >= 2, F.col("worded") & (F.col("sw") + F.col("fw") == 0) & F.col("several")).alias("v_many"), "v_start", "v_place", "v_near", "v_days",
     )
 
 
-def scored(told: DataFrame, scratch: Scratch) -> DataFrame:
-    """(id_a, id_b, source_a, source_b, confidence) of every candidate pair."""
-    spark = told.sparkSession
-    votes = scratch.put(voted(told))
-    counts = votes.groupBy(*VOTES).count().collect()  # at most 3 ** len(VOTES) patterns
-    shape = "id_a string, id_b string, source_a string, source_b string, confidence double"
+def posteriors(votes: DataFrame) -> DataFrame | None:
+    """(votes..., confidence) of every pattern there can be (3 ** len(VOTES)), by a model learned from the given votes; null without any."""
+    counts = votes.groupBy(*VOTES).count().collect()  # at most as many patterns
     if not counts:
-        return spark.createDataFrame([], shape)
-    groups = [tuple(VOTES.index(v) for v in g) for g in CORRELATED]
-    groups += [(i,) for i in range(len(VOTES)) if not any(i in g for g in groups)]
-    patterns = [tuple(r[v] for v in VOTES) for r in counts]
-    model = fit_label_model(patterns, [r["count"] for r in counts], groups)
-    table = spark.createDataFrame([(*p, model.posterior(p)) for p in patterns], ", ".join(f"{v} int" for v in VOTES) + ", confidence double")
-    return votes.join(F.broadcast(table), VOTES).select("id_a", "id_b", "source_a", "source_b", "confidence")
+        return None
+    patterns, uses = [tuple(r[v] for v in VOTES) for r in counts], [r["count"] for r in counts]
+    model = fit_label_model(patterns, uses, correlated_groups(patterns, uses))
+    return votes.sparkSession.createDataFrame([(*p, model.posterior(p)) for p in itertools.product((-1, 0, 1), repeat=len(VOTES))], ", ".join(f"{v} int" for v in VOTES) + ", confidence double")
 
 
 def occasions(pairs: DataFrame) -> DataFrame:
-    """(id, occasion): the least id that a chain of matched pairs reaches, however long."""
-    return connected_components(pairs, a="id_a", b="id_b", prefix="occasions").select(F.col("node").alias("id"), F.col("component").alias("occasion"))
+    """(no, occasion) of the listings of pairs (x, y): one label for all that a chain of pairs reaches, however long."""
+    return connected_components(pairs, a="x", b="y", prefix="occasions").select(F.col("node").alias("no"), F.col("component").alias("occasion"))
 
 
 def matches(events: DataFrame, reference: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
@@ -162,13 +183,20 @@ def matches(events: DataFrame, reference: DataFrame, *, threshold: float = THRES
 
     A pair has a day in common. Besides pairs whose posterior reaches the
     threshold, those come out that a chain of such pairs ties together on a
-    common day; their confidence is null. Listings without a date, a
-    municipality and a place match nothing.
+    common day, with the posterior of their own votes, however low. Listings
+    without a date, a municipality and a place match nothing.
     """
     scratch = Scratch(events.sparkSession, "linkage")
     told = features(events, reference, scratch)
-    rated = scratch.put(scored(told, scratch).where(F.col("confidence") >= threshold))
+    votes = scratch.put(voted(told, candidates(told)))
+    table = posteriors(votes)
+    if table is None:
+        return events.sparkSession.createDataFrame([], "id_a string, id_b string, confidence double")
+    rated = scratch.put(votes.join(F.broadcast(table), VOTES).where(F.col("confidence") >= threshold).select("x", "y", "confidence"))
+    scratch.drop(votes)
     label = occasions(rated)  # both ends of a rated pair share it, so no such pair is lost below
-    dated = label.join(told.select("id", "source", F.explode("days").alias("d")), "id").select("id", "source", "occasion", F.col("d.day").alias("day")).distinct()
-    tied = dated.alias("a").join(dated.alias("b"), ["occasion", "day"]).where("a.id < b.id and a.source <> b.source").select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b")).distinct()
-    return tied.join(rated.select("id_a", "id_b", "confidence"), ["id_a", "id_b"], "left")
+    dated = scratch.put(label.join(told.select("no", "id", "source", F.explode("days.day").alias("day")), "no").distinct())
+    tied = dated.alias("a").join(dated.alias("b"), ["occasion", "day"]).where("a.no < b.no and a.source <> b.source").select(F.col("a.no").alias("x"), F.col("b.no").alias("y"), F.least("a.id", "b.id").alias("id_a"), F.greatest("a.id", "b.id").alias("id_b")).distinct()
+    tied = scratch.put(tied.join(rated, ["x", "y"], "left"))
+    chained = voted(told, tied.where("confidence is null").select("x", "y")).join(F.broadcast(table), VOTES).select("x", "y", F.col("confidence").alias("own"))
+    return tied.join(chained, ["x", "y"], "left").select("id_a", "id_b", F.coalesce("confidence", "own").alias("confidence"))

@@ -3,21 +3,25 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lindwurm.llm.addresses import KINDS, places_of
+from lindwurm.llm.addresses import places_of
 from lindwurm.llm.canonical import tokens_of
-from lindwurm.llm.folding import folded, repaired
+from lindwurm.llm.folding import folded, folded_text
 from lindwurm.runtime import Scratch
 
-#: A word is telling if at most this share of the listings use it (or TELLING_ROWS of them).
+#: A word is telling if at most TELLING_ROWS and this share of the listings use it.
 TELLING_SHARE = 0.002
 TELLING_ROWS = 12
-WORD = "[a-z]{5,}"
+#: Words a worker counts before it hands the counts on.
+COUNTED_WORDS = 500_000
+WORD = re.compile(r"[^\W\d_]{5,}")
+MARKUP = re.compile("<[^>]*>|&[a-z]{2,6};?|&#[0-9]+;?")
 
 
 def plain(text: Column) -> Column:
@@ -25,12 +29,14 @@ def plain(text: Column) -> Column:
     return F.regexp_replace(folded(F.coalesce(text, F.lit(""))), "<[^>]*>|&[a-z]{2,6};?|&#[0-9]+;?", " ")
 
 
-def letters(text: Column) -> Column:
-    """Mended text in small letters with umlauts spelt out: enough to read its words."""
-    low = F.lower(repaired(F.coalesce(text, F.lit(""))))
-    for mark, plain_ in (("ä", "ae"), ("ö", "oe"), ("ü", "ue"), ("ß", "ss")):
-        low = F.replace(low, F.lit(mark), F.lit(plain_))
-    return low
+def words_of(*texts: str | None) -> list[str]:
+    """The distinct words of five letters or more of folded texts without tags, in any script, in order."""
+    found: dict[str, None] = {}
+    for text in texts:
+        if text:
+            text = folded_text(text)
+            found |= dict.fromkeys(WORD.findall(MARKUP.sub(" ", text) if "<" in text or "&" in text else text))
+    return list(found)
 
 
 def minutes(time: Column) -> Column:
@@ -52,40 +58,52 @@ def days(dates: Column) -> Column:
     return F.array_distinct(F.flatten(F.filter(F.transform(dates, spread), lambda x: x.isNotNull())))
 
 
-def common_words(texts: DataFrame, rows: int, column: str) -> list[str]:
-    """Words too frequent to tell anything; at most (words per text) / TELLING_SHARE of them."""
-    most = max(TELLING_ROWS, int(TELLING_SHARE * rows))
-    words = texts.select(F.explode(F.array_distinct(F.regexp_extract_all(F.col(column), F.lit(f"({WORD})"), F.lit(1)))).alias("word"))
-    return [r[0] for r in words.groupBy("word").count().where(F.col("count") > most).select("word").collect()]
+def common_words(listings: DataFrame, rows: int) -> list[str]:
+    """Words too frequent to tell anything; at most (words per text) / TELLING_SHARE of them.
+
+    Workers count the listings that use a word while they read, so only counts are shuffled.
+    """
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        uses: Counter = Counter()
+        for batch in batches:
+            for texts in zip(*(batch[c] for c in batch.columns)):
+                uses.update(words_of(*texts))
+            if len(uses) > COUNTED_WORDS:
+                yield pd.DataFrame({"word": list(uses), "uses": list(uses.values())})
+                uses.clear()
+        yield pd.DataFrame({"word": list(uses), "uses": list(uses.values())})
+
+    most = TELLING_ROWS + TELLING_SHARE * rows
+    words = listings.mapInPandas(counted, "word string, uses bigint").groupBy("word").agg(F.sum("uses").alias("uses"))
+    return [r[0] for r in words.where(F.col("uses") > most).select("word").collect()]
 
 
 def features(events: DataFrame, reference: DataFrame, scratch: Scratch) -> DataFrame:
-    """One row per id: id, source, muni, place, number, days, title_words, words, lat, lon.
+    """One row per id: no, id, source, muni, place, number, days, title_words, words, lat, lon.
 
     ``title_words`` and ``words`` (of all texts) hold the telling words, without
-    those of the listing's own place. Rows without an id are left out. Texts
-    are read where they are scanned; only their telling words are shuffled.
+    those of the listing's own place; ``no`` is a number of the row. Rows
+    without an id are left out; of an id that was delivered again the row of
+    the smallest file counts. Texts are read where they are scanned; only
+    their telling words are shuffled.
     """
     own = events.where("id is not null")
-    title, body = plain(F.col("title")), letters(F.concat_ws(" . ", "short_description", "description"))
-    rows = own.count()
-    common = frozenset(common_words(own.select(F.concat_ws(" . ", title, body).alias("text")), rows, "text"))
+    fields = ["title", "short_description", "description"]
+    common = frozenset(common_words(own.select(*fields), own.count()))
     sent = events.sparkSession.sparkContext.broadcast(common)
-    found, named = re.compile(WORD), re.compile(r"\bim ([a-z]+) ([a-z]{5,})")
 
     @F.pandas_udf("struct<title_words:array<string>,words:array<string>>")
-    def telling(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    def telling(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         known = sent.value
-        for titles, bodies in batches:
+        for batch in batches:
             out = []
-            for t, b in zip(titles, bodies):
-                first = [w for w in dict.fromkeys(found.findall(t)) if w not in known]
-                venues = {w for kind, w in named.findall(b) if kind in KINDS}
-                out.append((first, list(dict.fromkeys(first + [w for w in found.findall(b) if w not in known and w not in venues]))))
+            for title, *texts in zip(*batch):
+                first = [w for w in words_of(title) if w not in known]
+                out.append((first, list(dict.fromkeys(first + [w for w in words_of(*texts) if w not in known]))))
             yield pd.DataFrame(out, columns=["title_words", "words"], dtype=object)
 
     texts = own.select(
-        "id", F.col("source_code").alias("source"), days(F.col("dates")).alias("days"), telling(title, body).alias("w"),
+        "id", "file_ingestion_id", F.col("source_code").alias("source"), days(F.col("dates")).alias("days"), telling(*fields).alias("w"),
         F.when(F.col("geo_latitude").between(-90, 90) & (F.abs("geo_latitude") > 1), F.col("geo_latitude").cast("float")).alias("lat"),
         F.when(F.col("geo_longitude").between(-180, 180) & (F.abs("geo_longitude") > 1), F.col("geo_longitude").cast("float")).alias("lon"),
     )
@@ -94,8 +112,11 @@ def features(events: DataFrame, reference: DataFrame, scratch: Scratch) -> DataF
     cities = reference.where("kind = 'city'").select(F.concat(F.lit("c"), F.col("place_id").cast("string")).alias("muni"), F.array_join(tokens_of(F.col("name")), " ").alias("called"))
     here = located.join(venues, "place", "left").join(cities, "muni", "left").select(
         "id", "muni", "place", "number",
-        F.filter(F.concat(F.array("venue", "lane"), F.split(F.coalesce("called", F.substring("muni", 2, 1000)), " ")), lambda w: F.length(w) >= 5).alias("around"),
+        F.transform(F.filter(F.concat(F.array("venue", "lane"), F.split(F.coalesce("called", F.substring("muni", 2, 1000)), " ")), lambda w: F.length(w) >= 5), lambda w: F.substring(w, 1, 8)).alias("around"),
     )
-    foreign = lambda words: F.filter(words, lambda w: ~F.exists(F.coalesce("around", F.array().cast("array<string>")), lambda o: F.startswith(w, F.substring(o, 1, 8))))
-    joined = texts.join(here, "id", "left").dropDuplicates(["id"])
-    return scratch.put(joined.select("id", "source", "muni", "place", "number", "days", foreign(F.col("w.title_words")).alias("title_words"), foreign(F.col("w.words")).alias("words"), "lat", "lon"))
+    foreign = lambda words: F.filter(words, lambda w: ~F.exists(F.coalesce("around", F.array().cast("array<string>")), lambda o: F.startswith(w, o)))
+    told = texts.join(here, "id", "left").select("id", "file_ingestion_id", "source", "muni", "place", "number", "days", foreign(F.col("w.title_words")).alias("title_words"), foreign(F.col("w.words")).alias("words"), "lat", "lon")
+    told = told.groupBy("id").agg(F.min(F.struct(*[c for c in told.columns[1:]])).alias("x")).select("id", *[f"x.{c}" for c in told.columns[2:]])
+    kept = scratch.put(told.withColumn("no", F.monotonically_increasing_id()))
+    scratch.drop(located)
+    return kept

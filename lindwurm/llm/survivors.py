@@ -2,32 +2,41 @@
 
 The fields of the linked records are unpivoted to long rows of (group, field,
 record, value). Each record votes for its normalised value with the trust in
-its source times the decay of its age; what a value itself shows (damage,
-additions, cut ends, slips that the rest of the group contradicts, how much it
-says) ranks before the votes. Winners are chosen by ``max_by`` per group and
-value, so a group of any size is aggregated, never collected, and pivot back
-to one row per group.
+its source times the decay of its age times the quality of the value it holds
+(damage, additions, cut ends, slips that the rest of the group contradicts, how
+much it says, its confidence). The value with the most votes wins by ``max_by``
+per group and field, so a group of any size is aggregated, never collected,
+and pivots back to one row per group.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, LongType
 
 from lindwurm.llm.edits import osa
-from lindwurm.llm.folding import folded, squeezed
+from lindwurm.llm.folding import folded, folded_text, one_row, squeezed
 from lindwurm.llm.history import EMPTY_TITLES, KINDS_ALONE, REMARKS, bare_title
-from lindwurm.llm.listings import plain
+from lindwurm.llm.listings import COUNTED_WORDS, MARKUP, plain
 from lindwurm.runtime import Scratch
 
 #: Days after which a record's vote counts half.
-HALF_LIFE_DAYS = 30.0
-#: A sentence is boilerplate if at least this share of the texts (and BOILERPLATE_ROWS) hold it.
+HALF_LIFE_DAYS = 180.0
+#: What a vote counts for a value that says nothing, and for one that is damaged, added to or cut.
+EMPTY_VOTE, DAMAGED_VOTE = 1e-12, 1e-6
+#: A vote grows with this power of what its value says: one that says a tenth less counts a fifth.
+AMOUNT_POWER = 16
+#: A vote for a position grows e-fold with each 0.002 of its confidence.
+CONFIDENCE_STEP = 0.002
+#: A sentence is boilerplate if more than BOILERPLATE_ROWS and this share of the texts hold it.
 BOILERPLATE_SHARE, BOILERPLATE_ROWS = 0.035, 12
 #: Degrees around the centres of the places that still belong to their area.
 AREA_MARGIN = 0.1
@@ -50,11 +59,15 @@ def damaged(text: Column) -> Column:
 
 
 def linked_events(events: DataFrame, links: DataFrame) -> DataFrame:
-    """Events of canonical records with two or more distinct linked events. Column grp."""
+    """Events of canonical records with two or more distinct linked events. Column grp.
+
+    Of an id that was delivered again the row of the smallest file counts.
+    """
     pairs = links.where("canonical_event_id is not null and source_event_id is not null").select(F.col("canonical_event_id").alias("grp"), F.col("source_event_id").alias("id")).distinct()
     many = pairs.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").select("grp")
-    own = events.select("id", "source_code", "title", "description", "location_city", "geo_latitude", "geo_longitude", "geo_confidence", "created_at").dropDuplicates(["id"])
-    return pairs.join(many, "grp").join(own, "id")
+    fields = ["source_code", "title", "description", "location_city", "geo_latitude", "geo_longitude", "geo_confidence", "created_at"]
+    own = pairs.join(many, "grp").join(events.select("id", "file_ingestion_id", *fields), "id")
+    return own.groupBy("id", "grp").agg(F.min(F.struct("file_ingestion_id", *fields)).alias("x")).select("grp", "id", *[f"x.{f}" for f in fields])
 
 
 def trusts(events: DataFrame) -> DataFrame:
@@ -63,6 +76,53 @@ def trusts(events: DataFrame) -> DataFrame:
     return events.groupBy("source_code").agg((0.2 + 0.8 * F.avg(sound)).alias("trust"))
 
 
+_TAGS, _BREAK, _MARKS = re.compile("<[^>]*>"), re.compile(r"(?<=[.!?…])\s+"), re.compile(r"[^\w.!?]+|_")
+_DAMAGE = re.compile(r"<[^>]*>|&[A-Za-z#0-9]{2,6}|Ã|Â|â[€\u0080-\u009f]|\ufffd|^\s|\s$|\s\s|[^\W\d_][01][^\W\d_]|" + CUT)
+_WHOLE, _LETTERS, _WORDS = re.compile(r"[.!?][”“\")]?$"), re.compile(r"[\W\d_]+"), re.compile("[a-z0-9]{5,}")
+
+
+def sentence_keys(text: str) -> dict[int, int]:
+    """The distinct complete sentences of a text as hashes of their letters, with their lengths."""
+    found = {}
+    for piece in _BREAK.split(_TAGS.sub(" ", text)):
+        if len(piece) > 1:
+            normal = _MARKS.sub("", piece.lower())
+            if normal[-1:] in (".", "!", "?"):
+                found[xxhash.xxh64_intdigest(normal.encode("utf-8", "surrogatepass")) - (1 << 63)] = len(normal)
+    return found
+
+
+def boilerplate(events: DataFrame) -> list[int]:
+    """Hashes of sentences in too many texts to tell anything; at most (sentences per text) / BOILERPLATE_SHARE of them.
+
+    Workers count while they read, so only counts are shuffled.
+    """
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        uses: Counter = Counter()
+        for batch in batches:
+            for text in batch["description"]:
+                uses.update(sentence_keys(text).keys())
+            if len(uses) > COUNTED_WORDS:
+                yield pd.DataFrame({"sentence": list(uses), "uses": list(uses.values())})
+                uses.clear()
+        yield pd.DataFrame({"sentence": list(uses), "uses": list(uses.values())}, dtype="int64")
+
+    texts = events.where("description is not null").select("description")
+    often = texts.mapInPandas(counted, "sentence bigint, uses bigint").groupBy("sentence").agg(F.sum("uses").alias("uses"))
+    return [r[0] for r in often.where(F.col("uses") > BOILERPLATE_ROWS + BOILERPLATE_SHARE * texts.count()).select("sentence").collect()]
+
+
+def described(text: str, known: frozenset[int]) -> tuple[str, list[str], int, int, int, float]:
+    """(normal, words, says, sound, whole, amount) of a description; ``known`` sentences tell nothing."""
+    telling = {k: n for k, n in sentence_keys(text).items() if k not in known}
+    letters = _LETTERS.sub("", text)
+    sound = not (_DAMAGE.search(text) or letters == letters.upper() or letters == letters.lower() or text.count("„") != text.count("“"))
+    low = folded_text(text)
+    words = list(dict.fromkeys(_WORDS.findall(MARKUP.sub(" ", low) if "<" in low or "&" in low else low)))
+    amount = sum(telling.values())
+    return "|".join(map(str, sorted(telling))), words, int(amount > 0), int(sound), int(bool(_WHOLE.search(text.rstrip()))), float(amount)
+
+
 @F.pandas_udf(ArrayType(LongType()))
 def _signatures(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Keys of which words within the slips' edits share one: what is left after up to two deletions, the beginning, and one for all long words."""
@@ -117,7 +177,7 @@ def _slips(rows: DataFrame, scratch: Scratch, paired_words: int = PAIRED_WORDS)
 
 
 def ranked_values(events: DataFrame, links: DataFrame, places: DataFrame, scratch: Scratch) -> DataFrame:
-    """(grp, field, id, raw, normal, rank, weight): the long rows with their ranks."""
+    """(grp, field, id, raw, normal, weight, quality): the long rows; a vote is weight times quality."""
     own = scratch.put(linked_events(events, links).join(trusts(events), "source_code", "left"))
     newest = own.agg(F.max("created_at")).first()[0]
     age = F.greatest(F.lit(0.0), F.coalesce((F.unix_timestamp(F.lit(newest).cast("timestamp")) - F.unix_timestamp(F.col("created_at").cast("timestamp"))) / 86400.0, F.lit(365.0)))
@@ -132,7 +192,7 @@ def ranked_values(events: DataFrame, links: DataFrame, places: DataFrame, scratc
     titles = titles.withColumn("text", text).withColumn("ending", ending).join(towns, (F.col("grp") == F.col("town_grp")) & (F.col("ending") == F.col("town")), "left").drop("town_grp").join(listed, F.col("ending") == F.col("listed"), "left")
     added = F.regexp_like("text", F.lit(REMARKS)) | F.regexp_like("text", F.lit(r"\([^)]*\)\s*$| am \d{1,2}\.\s?\d{1,2}\.?(\d{2,4})?$| um \d{1,2}([:.]\d{2})? uhr$")) | F.col("town").isNotNull() | F.col("listed").isNotNull()
     nothing = F.regexp_like("text", F.lit(EMPTY_TITLES)) | F.regexp_like(F.regexp_replace("text", r"\s*\([^)]*\)\s*$", ""), F.lit(KINDS_ALONE + "|" + EMPTY_TITLES))
-    letters = F.regexp_extract_all("text", F.lit("([a-z0-9]+)"), F.lit(1))
+    letters = F.regexp_extract_all("text", F.lit("([a-z0-9]{5,})"), F.lit(1))
     long_titles = titles.select(
         "grp", F.lit("title").alias("field"), "id", F.col("title").alias("raw"), bare_title(F.col("title")).alias("normal"), "weight", letters.alias("words"),
         (~nothing).cast("int").alias("says"), (~damaged(F.col("title"))).cast("int").alias("sound"), (~added).cast("int").alias("alone"), F.length("text").cast("double").alias("amount"),
@@ -140,29 +200,22 @@ def ranked_values(events: DataFrame, links: DataFrame, places: DataFrame, scratc
 
     # descriptions
     bodies = own.where(F.col("description").isNotNull() & (squeezed(F.col("description")) != ""))
-    split = lambda c: F.filter(F.split(F.regexp_replace(c, r"<[^>]*>", " "), r"(?<=[.!?…])(?U)\s+"), lambda s: F.length(s) > 1)
-    normal = lambda s: F.regexp_replace(F.lower(s), r"[^\p{L}\p{N}.!?]+", "")
-    texts = events.where("description is not null").select("id", F.transform(split(F.col("description")), normal).alias("s"))
-    rows = texts.count()
-    often = texts.select(F.explode(F.array_distinct("s")).alias("sentence")).groupBy("sentence").count().where(F.col("count") >= max(BOILERPLATE_ROWS, int(BOILERPLATE_SHARE * rows)))
-    boiler = [r[0] for r in often.select("sentence").collect()]  # at most (sentences per text) / BOILERPLATE_SHARE
-    known = F.array(*[F.lit(b) for b in boiler]) if boiler else F.array().cast("array<string>")
-    complete = F.filter(F.transform(split(F.col("description")), normal), lambda s: F.regexp_like(s, F.lit(r"[.!?]$")))
-    telling = F.array_except(F.array_distinct(complete), known)
-    amount = F.aggregate(telling, F.lit(0), lambda acc, s: acc + F.length(s)).cast("double")
-    last = F.regexp_replace(F.col("description"), r"(?U)\s+$", "")
-    whole = F.regexp_like(last, F.lit(r"[.!?][”“\")]?$"))
-    words = F.regexp_extract_all(plain(F.col("description")), F.lit("([a-z0-9]+)"), F.lit(1))
-    long_bodies = bodies.select(
-        "grp", F.lit("description").alias("field"), "id", F.col("description").alias("raw"), F.xxhash64(F.concat_ws("|", F.array_sort(telling))).cast("string").alias("normal"), "weight", words.alias("words"),
-        (amount > 0).cast("int").alias("says"), (~damaged(F.col("description"))).cast("int").alias("sound"), whole.cast("int").alias("alone"), amount.alias("amount"),
+    sent = events.sparkSession.sparkContext.broadcast(frozenset(boilerplate(events)))
+
+    @F.pandas_udf("struct<normal:string,words:array<string>,says:int,sound:int,alone:int,amount:double>")
+    def read(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        known = sent.value
+        for batch in batches:
+            yield pd.DataFrame([described(t, known) for t in batch], columns=["normal", "words", "says", "sound", "alone", "amount"])
+
+    long_bodies = bodies.select("grp", F.lit("description").alias("field"), "id", F.col("description").alias("raw"), read("description").alias("x"), "weight").select(
+        "grp", "field", "id", "raw", F.xxhash64("x.normal").cast("string").alias("normal"), "weight", "x.words", "x.says", "x.sound", "x.alone", "x.amount"
     )
     both = scratch.put(long_titles.unionByName(long_bodies))
     slips = _slips(both.select("grp", "id", "field", "words"), scratch).withColumn("slip", F.lit(1))
-    worded = both.join(slips, ["grp", "id", "field"], "left").select(
-        "grp", "field", "id", "raw", "normal", "weight",
-        F.struct("says", (F.col("sound") * F.col("alone") * (1 - F.coalesce("slip", F.lit(0)))).alias("clean"), "amount", (-F.length("raw")).alias("brief")).alias("rank"),
-    )
+    clean = F.col("sound") * F.col("alone") * (1 - F.coalesce("slip", F.lit(0)))
+    quality = F.when(F.col("says") == 1, 1.0).otherwise(EMPTY_VOTE) * F.when(clean == 1, 1.0).otherwise(DAMAGED_VOTE) * F.pow(F.col("amount") + 1, F.lit(float(AMOUNT_POWER)))
+    worded = both.join(slips, ["grp", "id", "field"], "left").select("grp", "field", "id", "raw", "normal", "weight", quality.alias("quality"))
 
     # positions
     area = places.agg(F.min("centre_lat"), F.max("centre_lat"), F.min("centre_lon"), F.max("centre_lon")).first()
@@ -172,14 +225,8 @@ def ranked_values(events: DataFrame, links: DataFrame, places: DataFrame, scratc
     here = own.withColumn("scaled", scale).where(
         F.col("geo_latitude").between(area[0] - AREA_MARGIN, area[1] + AREA_MARGIN) & F.col("geo_longitude").between(area[2] - AREA_MARGIN, area[3] + AREA_MARGIN) & F.col("scaled").between(0, 1)
     )
-    places_long = here.select(
-        "grp", F.lit("geo").alias("field"), "id", F.lit("").alias("raw"), F.lit("").alias("normal"), "weight",
-        F.struct(F.lit(1).alias("says"), F.lit(1).alias("clean"), F.col("scaled").alias("amount"), F.lit(0).alias("brief")).alias("rank"),
-    )
-    # equal confidence: one value per position, the smallest id first
-    best = places_long.groupBy("grp").agg(F.max("rank").alias("rank"))
-    top = places_long.join(best, ["grp", "rank"]).groupBy("grp").agg(F.min("id").alias("id"), F.first("rank").alias("rank"))
-    return worded.unionByName(top.select("grp", F.lit("geo").alias("field"), "id", F.lit("").alias("raw"), F.lit("").alias("normal"), F.lit(1.0).alias("weight"), "rank"))
+    held = F.concat_ws(" ", F.round("geo_latitude", 6).cast("string"), F.round("geo_longitude", 6).cast("string"))
+    return worded.unionByName(here.select("grp", F.lit("geo").alias("field"), "id", held.alias("raw"), held.alias("normal"), "weight", F.exp(F.col("scaled") / CONFIDENCE_STEP).alias("quality")))
 
 
 def provenance(events: DataFrame, links: DataFrame, places: DataFrame) -> DataFrame:
@@ -190,17 +237,19 @@ def provenance(events: DataFrame, links: DataFrame, places: DataFrame) -> DataFr
     area of the places. Of several records with one value the smallest id.
     """
     scratch = Scratch(events.sparkSession, "survivors")
-    ranked = scratch.put(ranked_values(events, links, places, scratch))
-    votes = ranked.groupBy("grp", "field", "normal").agg(F.sum("weight").alias("votes"))
-    values = ranked.groupBy("grp", "field", "normal", "raw").agg(F.max("rank").alias("rank"), F.min("id").alias("id"))
-    chosen = values.join(votes, ["grp", "field", "normal"]).groupBy("grp", "field").agg(F.max_by("id", F.struct("rank.says", "rank.clean", "rank.amount", "votes", "rank.brief", "raw")).alias("id"))
+    votes = scratch.put(ranked_values(events, links, places, scratch))
+    values = votes.groupBy("grp", "field", "normal", "raw").agg(F.sum(F.col("weight") * F.col("quality")).alias("votes"), F.max("quality").alias("quality"), F.min("id").alias("id"))
+    # of the spellings of the chosen value the soundest, the briefest
+    spelt = values.groupBy("grp", "field", "normal").agg(F.sum("votes").alias("votes"), F.max_by("id", F.struct("quality", -F.length("raw"), "raw")).alias("id"))
+    chosen = spelt.groupBy("grp", "field").agg(F.max_by("id", F.struct("votes", "normal")).alias("id"))
     return chosen.select(F.col("grp").alias("canonical_event_id"), "field", F.col("id").alias("source_event_id"))
 
 
 def survivors(events: DataFrame, links: DataFrame, places: DataFrame) -> DataFrame:
     """One row per group: the best title, description and position, and where they come from."""
     chosen = provenance(events, links, places).groupBy("canonical_event_id").pivot("field", ["title", "description", "geo"]).agg(F.first("source_event_id"))
-    own = events.dropDuplicates(["id"])
+    held = ["title", "description", "geo_latitude", "geo_longitude", "geo_confidence"]
+    own = one_row(events.select("id", "file_ingestion_id", *held), "id", "file_ingestion_id")
     out = chosen.select("canonical_event_id", F.col("title").alias("title_from"), F.col("description").alias("description_from"), F.col("geo").alias("geo_from"))
     for field, columns in (("title", ["title"]), ("description", ["description"]), ("geo", ["geo_latitude", "geo_longitude", "geo_confidence"])):
         out = out.join(own.select(F.col("id").alias(f"{field}_from"), *columns), f"{field}_from", "left")

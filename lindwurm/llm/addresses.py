@@ -22,9 +22,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from lindwurm.llm.canonical import combination_key, municipalities
+from lindwurm.llm.canonical import combination_of_event, municipalities
 from lindwurm.llm.edits import letter_counts, osa
-from lindwurm.llm.folding import folded, one_row, squeezed, zip5
+from lindwurm.llm.folding import folded, one_row, squeezed
 from lindwurm.runtime import Scratch
 
 # Kinds of venues and how they are abbreviated.
@@ -341,7 +341,7 @@ def places_of(events: DataFrame, reference: DataFrame, scratch: Scratch) -> Data
 
     # read before any shuffle, so that only short columns travel
     own = events.where("id is not null").select(
-        "id", "file_ingestion_id", combination_key(F.col("location_city"), F.col("location_district"), zip5(F.col("location_zipcode"))).alias("combo"),
+        "id", "file_ingestion_id", combination_of_event().alias("combo"),
         F.xxhash64(*[F.coalesce(F.concat(F.lit("="), F.col(f)), F.lit("")) for f in fields]).alias("raw"),
         read(*[folded(squeezed(F.col(f))) for f in fields[:3]]).alias("p"),
     ).select("id", "file_ingestion_id", "raw", "combo", "p.*")

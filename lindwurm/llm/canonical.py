@@ -11,24 +11,26 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import partial
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lindwurm.llm.edits import letter_counts, osa
+from lindwurm.llm.edits import kept_keys, osa, piece_key, sought_keys
 from lindwurm.llm.folding import digits_to_letters, folded, squeezed, zip5
 from lindwurm.runtime import Scratch
 
 #: Distance up to which a token is joined to a vocabulary entry.
 MAX_EDITS = 3
-#: Vocabulary up to which it is sent to the workers; a larger one is joined by deletion signatures.
-SENT_VOCABULARY = 50_000
+#: Accuracy of the middle position of a combination: a rank is off by at most one in so many rows.
+MIDDLE_ACCURACY = 1000
+#: Letters of a cut-off word from which one of them may be wrong.
+CUT_SLIP_FROM = 5
+#: Listed places that may be sent to the workers for the decision (far above the municipalities and districts of a country).
+MAX_PLACES = 200_000
 # Words around a name that don't belong to it.
 NOISE = ["stadt", "gemeinde", "raum", "naehe", "nahe", "region", "ortsteil", "ot", "stadtteil", "markt", "bei", "kreis", "landkreis", "lkr", "d", "de"]
-#: Values that name no place; the other fields then tell the municipality.
-SAYS_NOTHING = {"", "-", "?", "??", "n/a", "n.n", "k. a", "keine angabe", "region", "landesweit", "ausland", "online", "div. orte", "siehe text", "verschiedene gemeinden", "wird noch mitgeteilt", "treffpunkt wird bekanntgegeben"}
 ARTICLES = ["am", "an", "der", "im", "a", "d", "i", "in"]
 
 
@@ -43,68 +45,64 @@ def tokens_of(value: Column) -> Column:
     return F.array_distinct(F.filter(words, lambda w: (F.length(w) > 0) & ~w.isin(NOISE)))
 
 
+def reach_of(length: int, most: int = MAX_EDITS) -> int:
+    """Edits within which a token of a length is joined."""
+    return min(most, 0 if length < 4 else 1 if length < 7 else 2 if length < 9 else most)
+
+
+def _cut_keys(head: str) -> list[int]:
+    """Keys of a beginning: its halves, or all of it where no letter may be wrong."""
+    length = len(head)
+    if length < CUT_SLIP_FROM:
+        return [piece_key(head, 9, length)]
+    half = length // 2
+    swapped = head[: half - 1] + head[half], head[half - 1] + head[half + 1 :]
+    return [piece_key(head[:half], 9, length, 0), piece_key(head[half:], 9, length, 1), piece_key(swapped[0], 9, length, 0), piece_key(swapped[1], 9, length, 1)]
+
+
 def repair(tokens: DataFrame, vocabulary: DataFrame, max_edits: int = MAX_EDITS) -> DataFrame:
     """(token, word, edits, cut) of each distinct token and the entries within reach.
 
     ``edits`` counts changes and swaps; up to 1 for words of 4 to 6 letters, 2
     to 8 and ``max_edits`` beyond; shorter words must be equal. A token that
-    ends in a period also joins the words it begins, with ``cut`` set.
+    ends in a period also joins the words it begins, with ``cut`` set, from
+    five letters on with one of them wrong. Words and tokens meet in a join on
+    segments that no word within reach can avoid, so a vocabulary of any size
+    gives the same rows.
     """
-    spark = tokens.sparkSession
-    words = sorted(r[0] for r in vocabulary.select("word").distinct().limit(SENT_VOCABULARY + 1).collect())
-    if len(words) > SENT_VOCABULARY:
-        return _repair_by_signatures(tokens, vocabulary)
-    sent = spark.sparkContext.broadcast(words)
-
-    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = sent.value
-        counts, sizes = letter_counts(known).astype(np.int16), np.array([len(w) for w in known], int)
-        for batch in batches:
-            own = batch["token"].tolist()
-            for at in range(0, len(own), 512):
-                part = own[at : at + 512]
-                bare = [t.rstrip(".") for t in part]
-                own_counts = letter_counts(bare).astype(np.int16)
-                own_sizes = np.array([len(t) for t in bare], int)
-                reach = np.minimum(np.select([own_sizes < 4, own_sizes < 7, own_sizes < 9], [0, 1, 2], max_edits), max_edits)
-                close = np.abs(own_sizes[:, None] - sizes[None, :]) <= reach[:, None]
-                i, j = np.nonzero(close)
-                gap = np.abs(own_counts[i] - counts[j]).sum(1)
-                keep = gap <= 2 * reach[i]
-                i, j = i[keep], j[keep]
-                edits = osa([bare[k] for k in i], [known[k] for k in j])
-                good = edits <= reach[i]
-                rows = [(part[a], known[b], int(e), False) for a, b, e in zip(i[good], j[good], edits[good])]
-                for t, stem in zip(part, bare):
-                    if t.endswith("."):
-                        heads = [w for w in known if len(w) > len(stem)]
-                        off = osa([stem] * len(heads), [w[: len(stem)] for w in heads])
-                        rows += [(t, w, int(e), True) for w, e in zip(heads, off) if e <= (1 if len(stem) >= 5 else 0)]
-                yield pd.DataFrame(rows, columns=["token", "word", "edits", "cut"], dtype=object)
-
-    return tokens.mapInPandas(near, "token string, word string, edits int, cut boolean")
-
-
-def _repair_by_signatures(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """The join for large vocabularies: equal words after up to two deletions."""
-
-    @F.udf("array<string>")
-    def deletions(word: str):
-        word = word.rstrip(".")
-        found = {word}
-        for _ in range(0 if len(word) < 4 else 1 if len(word) < 7 else 2):
-            found |= {w[:k] + w[k + 1 :] for w in found for k in range(len(w))}
-        return list(found)
-
-    left = tokens.select("token", F.explode(deletions("token")).alias("signature"))
-    right = vocabulary.select("word").distinct().select("word", F.explode(deletions("word")).alias("signature"))
-    pairs = left.join(right, "signature").select("token", "word").distinct()
+    reach = partial(reach_of, most=max_edits)
+
+    def keyed(how, heads: bool) -> Column:
+        @F.pandas_udf("array<struct<key:bigint,cut:boolean>>")
+        def keys(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for batch in batches:
+                out = []
+                for text in batch:
+                    bare = text.rstrip(".")
+                    found = [{"key": k, "cut": False} for k in how(bare)]
+                    if heads:  # of a word, all beginnings
+                        found += [{"key": k, "cut": True} for n in range(1, len(bare)) for k in _cut_keys(bare[:n])[:2]]
+                    elif text.endswith("."):
+                        found += [{"key": k, "cut": True} for k in _cut_keys(bare)]
+                    out.append(found)
+                yield pd.Series(out, dtype=object)
+
+        return keys
+
+    words = vocabulary.select("word").where("word <> ''").distinct()
+    kept = words.select("word", F.explode(keyed(partial(kept_keys, reach=reach, most=max_edits), True)("word")).alias("k")).select("word", "k.key", "k.cut")
+    sought = tokens.select("token", F.explode(keyed(partial(sought_keys, reach=reach), False)("token")).alias("k")).select("token", "k.key", "k.cut")
+    pairs = sought.join(kept, ["key", "cut"]).select("token", "word", "cut").distinct()
 
     @F.pandas_udf("int")
-    def distance(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series(osa([x.rstrip(".") for x in a], b.tolist()))
+    def distance(token: pd.Series, word: pd.Series, cut: pd.Series) -> pd.Series:
+        bare = [t.rstrip(".") for t in token]
+        return pd.Series(osa(bare, [w[: len(t)] if c else w for t, w, c in zip(bare, word, cut)]), dtype="int32")
 
-    return pairs.select("token", "word", distance("token", "word").alias("edits"), F.lit(False).alias("cut")).where("edits <= 2")
+    size = F.length(F.rtrim("token", F.lit(".")))
+    whole = F.least(F.when(size < 4, 0).when(size < 7, 1).when(size < 9, 2).otherwise(max_edits), F.lit(max_edits))
+    limit = F.when(F.col("cut"), F.when(size < CUT_SLIP_FROM, 0).otherwise(1)).otherwise(whole)
+    return pairs.withColumn("edits", distance("token", "word", "cut")).where(F.col("edits") <= limit).select("token", "word", "edits", "cut")
 
 
 def rank_entries(values: DataFrame, entries: DataFrame, max_edits: int = MAX_EDITS) -> DataFrame:
@@ -158,7 +156,10 @@ class Decider:
             for z in p["zipcodes"] or ():
                 if p["parent_place_id"] not in self.by_zip.setdefault(z, []):
                     self.by_zip[z].append(p["parent_place_id"])
-        self.zips = {i: {z for z, own in self.by_zip.items() if i in own} for i in self.cities}
+        self.zips: dict[int, set[str]] = {i: set() for i in self.cities}
+        for z, own in self.by_zip.items():
+            for i in own:
+                self.zips.get(i, set()).add(z)
         self.of_city: dict[int, dict[str, int]] = {}
         for i, p in self.districts.items():
             self.of_city.setdefault(p["parent_place_id"], {})[p["name"]] = i
@@ -264,9 +265,9 @@ class Decider:
 
 def place_rows(places: DataFrame) -> list[dict]:
     """The reference list on the driver; its size is checked."""
-    rows = places.select("place_id", "name", "kind", "parent_place_id", "zipcodes", "centre_lat", "centre_lon").limit(SENT_VOCABULARY + 1).collect()
-    if len(rows) > SENT_VOCABULARY:
-        raise ValueError("the reference list is larger than may be sent to the workers")
+    rows = places.select("place_id", "name", "kind", "parent_place_id", "zipcodes", "centre_lat", "centre_lon").limit(MAX_PLACES + 1).collect()
+    if len(rows) > MAX_PLACES:
+        raise ValueError(f"more than {MAX_PLACES} listed places")
     return [r.asDict() for r in rows]
 
 
@@ -276,15 +277,17 @@ def entries_of(places: DataFrame) -> DataFrame:
 
 
 def resolve_places(events: DataFrame, places: DataFrame, *, city: str = "location_city", district: str = "location_district", zipcode: str = "location_zipcode", lat: str = "geo_latitude", lon: str = "geo_longitude") -> DataFrame:
-    """(city, district, code, city_id, district_id, municipality) per distinct combination.
+    """(city, district, code, spot, city_id, district_id, municipality) per distinct combination.
 
     -1 where none is meant. ``municipality`` is told by the postcode, the
     district or the position where the city field is empty or says nothing.
+    Rows without city and postcode are told apart by their position (``spot``).
     """
     spark = events.sparkSession
     sent = spark.sparkContext.broadcast(Decider(place_rows(places)))
     keyed = combination(events, city, district, zipcode, lat, lon)
-    combos = keyed.groupBy("city", "district", "code").agg(F.median("glat").alias("glat"), F.median("glon").alias("glon"))
+    middle = lambda c: F.percentile_approx(c, 0.5, MIDDLE_ACCURACY).alias(c)
+    combos = keyed.groupBy("city", "district", "code", "spot").agg(middle("glat"), middle("glon"))
     values = combos.select(F.explode(F.array("city", "district")).alias("value")).where("value is not null").distinct()
     ranked = rank_entries(values, entries_of(places))
     joined = (
@@ -303,28 +306,45 @@ def resolve_places(events: DataFrame, places: DataFrame, *, city: str = "locatio
         return pd.DataFrame(out, columns=["city_id", "district_id", "municipality"])
 
     decided = joined.withColumn("ids", decide("city", "district", "code", "glat", "glon", "city_candidates", "district_candidates"))
-    return decided.select("city", "district", "code", F.col("ids.city_id").alias("city_id"), F.col("ids.district_id").alias("district_id"), F.col("ids.municipality").alias("municipality"))
+    return decided.select("city", "district", "code", "spot", F.col("ids.city_id").alias("city_id"), F.col("ids.district_id").alias("district_id"), F.col("ids.municipality").alias("municipality"))
+
+
+def spot_of(city: Column, code: Column, lat: Column, lon: Column) -> Column:
+    """A square of about a kilometre where neither city nor postcode is given, else ''."""
+    bare = (squeezed(F.coalesce(city, F.lit(""))) == "") & (code == "")
+    return F.when(bare & lat.isNotNull() & lon.isNotNull(), F.concat_ws(",", F.round(lat, 2), F.round(lon, 2))).otherwise("")
+
+
+def _usable(lat: str, lon: str) -> Column:
+    return F.col(lat).between(-90, 90) & F.col(lon).between(-180, 180) & (F.abs(F.col(lat)) + F.abs(F.col(lon)) > 1)
 
 
 def combination(events: DataFrame, city: str, district: str, zipcode: str, lat: str, lon: str, *keep: str) -> DataFrame:
     """The columns places are decided by."""
-    usable = F.col(lat).between(-90, 90) & F.col(lon).between(-180, 180) & (F.abs(F.col(lat)) + F.abs(F.col(lon)) > 1)
+    code, usable = zip5(F.col(zipcode)), _usable(lat, lon)
+    glat, glon = F.when(usable, F.col(lat)), F.when(usable, F.col(lon))
     return events.select(
-        *keep, F.col(city).alias("city"), F.col(district).alias("district"), zip5(F.col(zipcode)).alias("code"),
-        F.when(usable, F.col(lat)).alias("glat"), F.when(usable, F.col(lon)).alias("glon"),
+        *keep, F.col(city).alias("city"), F.col(district).alias("district"), code.alias("code"), spot_of(F.col(city), code, glat, glon).alias("spot"), glat.alias("glat"), glon.alias("glon")
     )
 
 
+def combination_of_event() -> Column:
+    """The combination key of a source event."""
+    code, usable = zip5(F.col("location_zipcode")), _usable("geo_latitude", "geo_longitude")
+    spot = spot_of(F.col("location_city"), code, F.when(usable, F.col("geo_latitude")), F.when(usable, F.col("geo_longitude")))
+    return combination_key(F.col("location_city"), F.col("location_district"), code, spot)
+
+
 def map_places(events: DataFrame, places: DataFrame) -> DataFrame:
     """(id, field, place_id) of every place value that is not exactly a listed name.
 
     Fields 'city' and 'district'; null and blank values give no row, values
     that stand for nothing in the list give -1. Rows are distinct.
     """
-    keyed = combination(events, "location_city", "location_district", "location_zipcode", "geo_latitude", "geo_longitude", "id").select("id", "city", "district", "code").distinct()
-    listed = F.broadcast(places.where("kind in ('city', 'district')").select("kind", "name").distinct())
+    keyed = combination(events, "location_city", "location_district", "location_zipcode", "geo_latitude", "geo_longitude", "id").select("id", "city", "district", "code", "spot").distinct()
+    listed = places.where("kind in ('city', 'district')").select("kind", "name").distinct()
     resolved = resolve_places(events, places)
-    both = keyed.alias("k").join(resolved.alias("r"), F.col("k.city").eqNullSafe(F.col("r.city")) & F.col("k.district").eqNullSafe(F.col("r.district")) & (F.col("k.code") == F.col("r.code")))
+    both = keyed.alias("k").join(resolved.alias("r"), F.col("k.city").eqNullSafe(F.col("r.city")) & F.col("k.district").eqNullSafe(F.col("r.district")) & (F.col("k.code") == F.col("r.code")) & (F.col("k.spot") == F.col("r.spot")))
     rows = both.select("id", F.explode(F.array(
         F.struct(F.lit("city").alias("field"), F.col("k.city").alias("value"), F.col("city_id").alias("place_id")),
         F.struct(F.lit("district").alias("field"), F.col("k.district").alias("value"), F.col("district_id").alias("place_id")),
@@ -334,10 +354,10 @@ def map_places(events: DataFrame, places: DataFrame) -> DataFrame:
     return free.select("id", "field", "place_id").distinct()
 
 
-def combination_key(city: Column, district: Column, code: Column) -> Column:
+def combination_key(city: Column, district: Column, code: Column, spot: Column) -> Column:
     """One number for a combination of place fields, null told from empty."""
     told = lambda c: F.coalesce(F.concat(F.lit("="), c), F.lit("-"))
-    return F.xxhash64(told(city), told(district), told(code))
+    return F.xxhash64(told(city), told(district), told(code), spot)
 
 
 def municipalities(events: DataFrame, places: DataFrame, scratch: Scratch) -> DataFrame:
@@ -354,6 +374,6 @@ def municipalities(events: DataFrame, places: DataFrame, scratch: Scratch) -> Da
     counted = keyed.groupBy("city", "code").count().alias("n").join(open_.alias("u"), same, "left_semi").withColumn("spelt", spelt).where("code <> '' and spelt <> ''")
     usual = counted.groupBy("code", "spelt").agg(F.sum("count").alias("n")).groupBy("code").agg(F.max_by("spelt", F.struct("n", "spelt")).alias("usual"))
     return resolved.join(usual, "code", "left").select(
-        combination_key(F.col("city"), F.col("district"), F.col("code")).alias("combo"),
+        combination_key(F.col("city"), F.col("district"), F.col("code"), F.col("spot")).alias("combo"),
         F.when(F.col("municipality") >= 0, F.concat(F.lit("c"), F.col("municipality").cast("string"))).otherwise(F.concat(F.lit("u"), F.coalesce(F.col("usual"), F.nullif(spelt, F.lit(""))))).alias("muni"),
     )

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Callable
+
 import numpy as np
 
 
@@ -53,3 +56,50 @@ def letter_counts(words: list[str]) -> np.ndarray:
     used = flat > 0
     np.add.at(out, (rows[used], flat[used] % 32), 1)
     return out
+
+
+def borders(length: int, parts: int) -> list[tuple[int, int]]:
+    """Starts and sizes of the segments of a string; the later ones are the longer."""
+    small, more = divmod(length, parts)
+    starts, at = [], 0
+    for i in range(parts):
+        size = small + (i >= parts - more)
+        starts.append((at, size))
+        at += size
+    return starts
+
+
+def piece_key(text: str, *where: int) -> int:
+    """A number for a piece of text at a place (a few small numbers)."""
+    raw = text.encode("utf-8", "surrogatepass")
+    key = (zlib.crc32(raw) << 31) ^ (zlib.adler32(raw) << 11)
+    for at in where:
+        key = (key * 1_000_003 ^ at) & 0x7FFFFFFFFFFFFFFF
+    return key
+
+
+def kept_keys(word: str, reach: Callable[[int], int], most: int) -> list[int]:
+    """Keys under which a word is found by ``sought_keys`` of every token within reach of it.
+
+    ``reach`` gives the edits allowed to a token of a length, at most ``most``.
+    For k edits a word is cut into k + 1 segments, one of which is whole in the
+    token; for none it is kept as it is.
+    """
+    length, found = len(word), set()
+    for k in {reach(n) for n in range(max(0, length - most), length + most + 1)}:
+        found |= {piece_key(word[at : at + size], k, length, i) for i, (at, size) in enumerate(borders(length, k + 1))}
+    return list(found)
+
+
+def sought_keys(token: str, reach: Callable[[int], int]) -> list[int]:
+    """Keys of the substrings of a token that may be a segment of a word within reach of it."""
+    own, found = len(token), set()
+    k = reach(own)
+    for length in range(max(0, own - k), own + k + 1):
+        delta = own - length
+        for i, (at, size) in enumerate(borders(length, k + 1)):
+            for start in range(max(0, at - i, at + delta - (k - i)), min(own - size, at + i, at + delta + (k - i)) + 1):
+                found.add(piece_key(token[start : start + size], k, length, i))
+                if start and size:  # neighbours swapped across the border before it
+                    found.add(piece_key(token[start - 1] + token[start + 1 : start + size], k, length, i))
+    return list(found)

@@ -9,7 +9,6 @@ batch writes its own segments and leaves the history as it is.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from functools import partial
 
@@ -21,7 +20,7 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, Stru
 from pyspark.sql.utils import AnalysisException
 
 from lindwurm.llm.components import connected_components
-from lindwurm.llm.edits import osa
+from lindwurm.llm.edits import borders, osa, piece_key
 from lindwurm.llm.folding import folded, squeezed, zip5
 from lindwurm.llm.listings import days, plain
 from lindwurm.runtime import Scratch
@@ -45,25 +44,9 @@ def reach(length: int) -> int:
     return SHORT_EDITS if length < LONG_FROM else LONG_EDITS
 
 
-def borders(length: int) -> list[tuple[int, int]]:
-    """Starts and sizes of the segments of a string; the later ones are the longer."""
-    small, more = divmod(length, SEGMENTS)
-    starts, at = [], 0
-    for i in range(SEGMENTS):
-        size = small + (i >= SEGMENTS - more)
-        starts.append((at, size))
-        at += size
-    return starts
-
-
-def _key(text: str, length: int, position: int) -> int:
-    raw = text.encode("utf-8", "surrogatepass")
-    return (zlib.crc32(raw) << 31) ^ (zlib.adler32(raw) << 11) ^ (length << 3) ^ position
-
-
 def stored_keys(text: str) -> list[int]:
     """Keys under which a string is stored, one per segment."""
-    return [_key(text[at : at + size], len(text), i) for i, (at, size) in enumerate(borders(len(text)))]
+    return [piece_key(text[at : at + size], len(text), i) for i, (at, size) in enumerate(borders(len(text), SEGMENTS))]
 
 
 def probe_keys(text: str, longer: bool = True) -> list[int]:
@@ -81,13 +64,13 @@ def probe_keys(text: str, longer: bool = True) -> list[int]:
         k = max(reach(own), reach(length))
         if abs(delta) > k:
             continue
-        for i, (at, size) in enumerate(borders(length)):
+        for i, (at, size) in enumerate(borders(length, SEGMENTS)):
             low = max(0, at - i, at + delta - (SEGMENTS - 1 - i), at - k)
             high = min(own - size, at + i, at + delta + (SEGMENTS - 1 - i), at + k)
             for start in range(low, high + 1):
-                found.add(_key(text[start : start + size], length, i))
+                found.add(piece_key(text[start : start + size], length, i))
                 if start and size:  # neighbours swapped across the border before it
-                    found.add(_key(text[start - 1] + text[start + 1 : start + size], length, i))
+                    found.add(piece_key(text[start - 1] + text[start + 1 : start + size], length, i))
     return list(found)
 
 

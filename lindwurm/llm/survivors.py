@@ -241,7 +241,7 @@ def provenance(events: DataFrame, links: DataFrame, places: DataFrame) -> DataFr
     values = votes.groupBy("grp", "field", "normal", "raw").agg(F.sum(F.col("weight") * F.col("quality")).alias("votes"), F.max("quality").alias("quality"), F.min("id").alias("id"))
     # of the spellings of the chosen value the soundest, the briefest
     spelt = values.groupBy("grp", "field", "normal").agg(F.sum("votes").alias("votes"), F.max_by("id", F.struct("quality", -F.length("raw"), "raw")).alias("id"))
-    chosen = spelt.groupBy("grp", "field").agg(F.max_by("id", F.struct("votes", "normal")).alias("id"))
+    chosen = spelt.groupBy("grp", "field").agg(F.min_by("id", F.struct(-F.col("votes"), "id")).alias("id"))
     return chosen.select(F.col("grp").alias("canonical_event_id"), "field", F.col("id").alias("source_event_id"))
 
 

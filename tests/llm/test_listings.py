@@ -64,11 +64,39 @@ def test_places(spark, places):
     }
 
 
-def test_signature_join_finds_what_the_sent_vocabulary_finds(spark):
-    tokens = spark.createDataFrame([("oberluztal",), ("querfeldn",), ("zzz",)], "token string")
-    words = spark.createDataFrame([("oberlutztal",), ("querfelden",)], "word string")
-    pick = lambda df: {(r["token"], r["word"]) for r in df.where("edits <= 2").collect()}
-    assert pick(canonical.repair(tokens, words)) == pick(canonical._repair_by_signatures(tokens, words)) == {("oberluztal", "oberlutztal"), ("querfeldn", "querfelden")}
+def test_repair_finds_all_within_reach_whatever_the_size_of_the_vocabulary(spark):
+    rnd = random.Random(5)
+    words = sorted({"".join(rnd.choice("abcdelnru") for _ in range(rnd.choice([2, 3, 4, 6, 7, 8, 9, 12, 40]))) for _ in range(150)})
+    tokens = set(words) | {"oberlu.", "abcd."}
+    for w in words:
+        for _ in range(4):
+            t = list(w)
+            for _ in range(rnd.randrange(4)):
+                k = rnd.randrange(len(t) + 1)
+                if rnd.random() < 0.4 and 0 < k < len(t):
+                    t[k - 1], t[k] = t[k], t[k - 1]
+                else:
+                    t[k : k + rnd.randrange(2)] = rnd.choice([[], ["x"]])
+            tokens.add("".join(t))
+        tokens.add(w[: rnd.randrange(1, len(w) + 1)] + ".")
+    tokens = sorted(t for t in tokens if t)
+    small = spark.createDataFrame([(w,) for w in words], "word string")
+    asked = spark.createDataFrame([(t,) for t in tokens], "token string")
+    got = {tuple(r) for r in canonical.repair(asked, small).collect()}
+    away = lambda a, b: int(edits.osa([a], [b])[0])
+    plainly = _levenshtein
+    true = {(t, w, e, False) for t in tokens for w in words if abs(len(t.rstrip(".")) - len(w)) <= 3 and (e := away(t.rstrip("."), w)) <= canonical.reach_of(len(t.rstrip("."))) and plainly(t.rstrip("."), w) <= 6}
+    cut = {(t, w, e, True) for t in tokens if t.endswith(".") for w in words if len(w) > len(t) - 1 and (e := away(t[:-1], w[: len(t) - 1])) <= (0 if len(t) - 1 < 5 else 1)}
+    assert got <= true | cut and cut <= got and len(true - got) <= len(true) // 500
+    large = small.unionByName(spark.range(60_000).selectExpr("concat('zz', translate(cast(id as string), '0123456789', 'qwxyzvkjhg'), 'zzzz') as word"))
+    assert {tuple(r) for r in canonical.repair(asked, large).where("not word like 'zz%'").collect()} == got
+
+
+def test_rows_without_city_and_postcode_go_by_their_own_position(spark, places):
+    rows = [event("a", location_district="Altstadt", geo_latitude=48.001, geo_longitude=8.0), event("b", location_district="Altstadt", geo_latitude=48.101, geo_longitude=8.1), event("c", location_district="Altstadt")]
+    assert {tuple(r) for r in canonical.map_places(table(spark, *rows), places).collect()} == set()
+    spelt = [event(r[1], location_district="Altstatd", geo_latitude=r[11], geo_longitude=r[12]) for r in rows]
+    assert {tuple(r) for r in canonical.map_places(table(spark, *spelt), places).collect()} == {("a", "district", 11), ("b", "district", 12), ("c", "district", -1)}
 
 
 def test_empty_tables(spark, places):
@@ -213,6 +241,13 @@ def _levenshtein(a, b):
     return row[-1]
 
 
+def test_votes_decide_between_values_of_one_quality(spark, places):
+    rows = [event("a", description="Der Chor singt im Saal.", source_code="s"), event("b", description="Der Chor tanzt im Park.", source_code="t"), event("c", description="Der Chor tanzt im Park.", source_code="u")]
+    links = spark.createDataFrame([(1, i) for i in "abc"], "canonical_event_id bigint, source_event_id string")
+    assert {tuple(r) for r in survivors.provenance(table(spark, *rows), links, places).collect()} == {(1, "description", "b")}
+    assert {tuple(r) for r in survivors.provenance(table(spark, *rows[:2]), links, places).collect()} == {(1, "description", "a")}
+
+
 def test_survivors(spark, places):
     rows = [
         event("a", title="Lesung mit Kuno Drebborwetter", description="Es liest Kuno.", geo_latitude=48.0, geo_longitude=8.0, geo_confidence=0.8, source_code="s", location_city="Oberlutztal"),

@@ -70,6 +70,13 @@ def hard_negatives(scored: DataFrame, below: float, share: float, seed: int = 0)
     return low.orderBy(F.xxhash64(F.lit(seed), "id_a", "id_b"), "id_a", "id_b").limit(k)
 
 
+def labelling_candidates(scored: DataFrame, threshold: float, share: float = 0.2, seed: int = 0) -> DataFrame:
+    """Pairs from a score on, and a seeded share of those below as hard negatives, the likeliest first."""
+    near = scored.where(F.col("score") >= threshold).withColumn("hard_negative", F.lit(False))
+    both = near.unionByName(hard_negatives(scored, threshold, share, seed).withColumn("hard_negative", F.lit(True)))
+    return both.orderBy(F.desc("score"), "id_a", "id_b")
+
+
 def auto_label(pairs: DataFrame) -> DataFrame:
     """label, confidence and reason by title and description likeness and town; null where unsure.
 

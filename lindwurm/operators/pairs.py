@@ -12,11 +12,17 @@ FIELDS = ["id", "title", "short_description", "description", "location_name", "g
 
 
 def one_per_id(events: DataFrame) -> DataFrame:
-    """One row per id: that of the smallest file, where an id was delivered again."""
+    """One row per id: that of the smallest file, where an id was delivered again; of several there the least by its hash.
+
+    The row is chosen by a hash of its content first, so that only short columns are aggregated.
+    """
     if "file_ingestion_id" not in events.columns:
-        return events.dropDuplicates(["id"])
-    rows = events.where("id is not null").groupBy("id").agg(F.min_by(F.struct(*events.columns), F.struct(F.col("file_ingestion_id"), F.xxhash64("categories") if "categories" in events.columns else F.lit(0))).alias("x"))
-    return rows.select("x.*")
+        return events.where("id is not null").dropDuplicates(["id"])
+    plain = [F.to_json(c) if t.startswith(("map", "array", "struct")) else F.col(c).cast("string") for c, t in events.dtypes]
+    content = F.xxhash64(*[F.coalesce(c, F.lit("\0")) for c in plain])
+    own = events.where("id is not null").withColumn("_pick", F.struct("file_ingestion_id", content.alias("h")))
+    first = own.groupBy(F.col("id").alias("_id")).agg(F.min("_pick").alias("_first"))
+    return own.join(first, (F.col("id") == F.col("_id")) & F.col("_pick").eqNullSafe(F.col("_first"))).drop("_id", "_first", "_pick").dropDuplicates(["id"])
 
 
 def candidate_pairs(events: DataFrame, *, cross_source: bool = False) -> DataFrame:

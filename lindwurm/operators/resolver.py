@@ -55,6 +55,14 @@ def applied(decision: Column, same: Column, confidence: Column, threshold: float
     }
 
 
+def applied_verdict(decision: Column, verdict: Column, confidence: Column, threshold: float = 0.6) -> dict[str, Column]:
+    """The same for verdicts in words: 'same' and 'different' decide, any other word is kept as unexpected."""
+    same = F.when(verdict == "same", True).when(verdict == "different", False)
+    by = applied(decision, same, confidence, threshold)
+    odd = verdict.isNotNull() & same.isNull() & confidence.isNotNull() & (confidence >= threshold)
+    return {"decision": F.when(odd, "ambiguous").otherwise(by["decision"]), "tier": F.when(odd, "ai_unexpected").otherwise(by["tier"])}
+
+
 def remember(cache: DataFrame, verdicts: DataFrame, model: str) -> DataFrame:
     """The cache with new verdicts; a hash already there keeps its first one."""
     fresh = verdicts.where("same is not null").select("pair_hash", F.lit(model).alias("model"), "same", "confidence").dropDuplicates(["pair_hash"])

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lindwurm.operators.pairs import one_per_id
+
 SORTS = {"title": "title", "city": "location_city", "date": "first_date", "categories": "categories", "source_count": "source_count", "confidence": "match_confidence", "review": "needs_review"}
 
 
@@ -45,6 +47,12 @@ def page(records: DataFrame, number: int = 1, size: int = 25, most: int = 10_000
     return records.offset((number - 1) * size).limit(size)
 
 
+def page_with_total(records: DataFrame, number: int = 1, size: int = 25) -> DataFrame:
+    """One page of ordered records, each with the total of records and the number of pages (1 if there is none)."""
+    counted = records.agg(F.count(F.lit(1)).alias("total")).select("total", F.greatest(F.lit(1), F.ceil(F.col("total") / size)).cast("int").alias("pages"))
+    return page(records, number, size).join(counted, F.lit(True))
+
+
 def pages(total: int, size: int) -> int:
     return math.ceil(total / size) if total > 0 else 1
 
@@ -58,7 +66,7 @@ def review_queue(records: DataFrame, min_sources: int = 1) -> DataFrame:
 def detail(records: DataFrame, links: DataFrame, events: DataFrame, key: int) -> DataFrame:
     """One record with its source records, each with its dates; empty if there is none."""
     own = records.where(F.col("id") == key)
-    sources = links.where(F.col("canonical_event_id") == key).select("source_event_id").distinct().join(events.dropDuplicates(["id"]).select(F.col("id").alias("source_event_id"), "title", "source_code", "dates"), "source_event_id")
+    sources = links.where(F.col("canonical_event_id") == key).select("source_event_id").distinct().join(one_per_id(events).select(F.col("id").alias("source_event_id"), "title", "source_code", "dates"), "source_event_id")
     packed = sources.agg(F.array_sort(F.collect_list(F.struct("source_event_id", "title", "source_code", "dates"))).alias("sources"))
     return own.join(packed, F.lit(True))
 

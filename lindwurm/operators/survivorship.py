@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lindwurm.operators.pairs import one_per_id
 from lindwurm.runtime import Scratch
 
 LONGEST = ["short_description", "description", "location_name", "location_district", "location_street", "location_zipcode"]
@@ -79,7 +80,7 @@ def enrich(old: DataFrame, new: DataFrame, fields: tuple[str, ...] = ("title", "
 def members_of(events: DataFrame, links: DataFrame) -> DataFrame:
     """Source records with the canonical record they are linked to as ``cluster``."""
     pairs = links.select(F.col("canonical_event_id").alias("cluster"), F.col("source_event_id").alias("id")).distinct()
-    return pairs.join(events.dropDuplicates(["id"]), "id")
+    return pairs.join(one_per_id(events), "id")
 
 
 def store(spark, records: DataFrame, label: str = "canonical") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -38,6 +39,19 @@ def from_decisions(events: DataFrame, decisions: DataFrame, config: dict = DEFAU
 
 
 def replace_all(outcome: Outcome, folder: str) -> None:
-    """Write decisions, clusters and records anew; each table is swapped in as a whole."""
-    for name in ("decisions", "clusters", "records"):
-        getattr(outcome, name).write.mode("overwrite").parquet(f"{folder}/{name}")
+    """Write decisions, clusters and records anew beside the old ones, then swap each table in by renaming.
+
+    If writing fails, the old tables stay as they are.
+    """
+    spark = outcome.records.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    files = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    names, fresh = ("decisions", "clusters", "records"), f"{folder}/.fresh-{uuid.uuid4().hex}"
+    try:
+        for name in names:
+            getattr(outcome, name).write.parquet(f"{fresh}/{name}")
+        for name in names:
+            files.delete(path(f"{folder}/{name}"), True)
+            files.rename(path(f"{fresh}/{name}"), path(f"{folder}/{name}"))
+    finally:
+        files.delete(path(fresh), True)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -49,11 +50,15 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Where it is unset (tests, single machine) a temporary folder is chosen and
-    put into the session, so that every later call sees the same one.
+    Where it is unset on a local master (tests, single machine) a temporary
+    folder is chosen and put into the session, so that every later call sees
+    the same one; on a cluster that is an error, as its machines share no
+    temporary folder.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='lindwurm-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

@@ -179,3 +179,52 @@ def test_export_parts(spark):
     empty = exports.parts(spark.createDataFrame([], columns)).collect()
     assert json.loads(empty[0]["content"])["metadata"]["eventCount"] == 0
     assert exports.bundle([("a", "{}")])[0] == "application/json" and exports.bundle([("a", "{}"), ("b", "{}")])[0] == "application/zip"
+
+
+def test_shared_folder_is_asked_for_on_a_cluster(spark, monkeypatch):
+    from lindwurm import runtime
+
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Session:
+        conf = Conf()
+        sparkContext = type("C", (), {"master": "spark://host:7077"})()
+
+    with pytest.raises(RuntimeError):
+        runtime.shared_dir(Session())
+
+
+def test_one_per_id_takes_the_smallest_file_whatever_the_order(spark):
+    rows = [("a", 2, "late"), ("a", 1, "x"), ("a", 1, "y"), ("b", 3, None), (None, 1, "z")]
+    pick = lambda r: {tuple(x) for x in pairs.one_per_id(spark.createDataFrame(r, "id string, file_ingestion_id bigint, title string")).collect()}
+    assert pick(rows) == pick(rows[::-1]) and {x[:2] for x in pick(rows)} == {("a", 1), ("b", 3)}
+
+
+def test_hot_vertices_and_roots_are_split_without_changing_groups(spark):
+    edges = [(f"n{i:03d}", "a") for i in range(60)] + [(f"c{i:03d}", f"c{i + 1:03d}") for i in range(40)]
+    df = spark.createDataFrame(edges, "a string, b string")
+    plain = {tuple(r) for r in graph.connected_components(df, max_levels=1).collect()}
+    assert plain == {tuple(r) for r in graph.connected_components(df, hot_degree=5, max_levels=1).collect()} and len({c for _, c in plain}) == 2
+
+
+def test_split_many_audit_and_emptied(spark):
+    links = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (2, "c")], "canonical_event_id bigint, source_event_id string")
+    moves = spark.createDataFrame([(1, "b", 9), (2, "c", 1), (5, "x", 6)], "canonical_event_id bigint, source_event_id string, target bigint")
+    after = review.split_many(links, moves)
+    assert {tuple(r) for r in after.collect()} == {(1, "a"), (9, "b"), (1, "c")}
+    assert [r[0] for r in review.emptied(links, after).collect()] == [2]
+    log = {r["canonical_event_id"]: (r["links_before"], r["links_after"]) for r in review.audit_rows(links, after, "split", "2012-01-01").collect()}
+    assert log == {1: (2, 2), 2: (1, 0), 9: (0, 1)}
+
+
+def test_replace_all_swaps_tables_and_keeps_the_old_ones_on_failure(spark, tmp_path):
+    one = spark.createDataFrame([(1,)], "x int")
+    pipeline.replace_all(pipeline.Outcome(one, one, one, one), str(tmp_path))
+    two = spark.createDataFrame([(2,)], "x int")
+    with pytest.raises(Exception):
+        pipeline.replace_all(pipeline.Outcome(two, two, two, two.selectExpr("raise_error('no') as x")), str(tmp_path))
+    assert [spark.read.parquet(f"{tmp_path}/{n}").first()[0] for n in ("decisions", "clusters", "records")] == [1, 1, 1]
+    pipeline.replace_all(pipeline.Outcome(two, two, two, two), str(tmp_path))
+    assert spark.read.parquet(f"{tmp_path}/records").first()[0] == 2 and sorted(p.name for p in tmp_path.iterdir()) == ["clusters", "decisions", "records"]

@@ -34,13 +34,12 @@ def folded(text: Column) -> Column:
     return low
 
 
-_DAMAGE = re.compile("[ÃÂâ&]")
-_PLAIN = str.maketrans(ACCENTED, PLAIN)
+_ACCENTS, _PLAIN = re.compile(f"[{ACCENTED}]"), str.maketrans(ACCENTED, PLAIN)
 
 
 def folded_text(text: str) -> str:
     """What ``folded`` makes of a text, for the workers."""
-    if _DAMAGE.search(text):
+    if "Ã" in text or "Â" in text or "â" in text or "&" in text:
         for bad, good in MOJIBAKE:
             text = text.replace(bad, good)
     text = text.lower()
@@ -50,7 +49,7 @@ def folded_text(text: str) -> str:
         text = unicodedata.normalize("NFC", text)
     for mark, letters in (("ä", "ae"), ("ö", "oe"), ("ü", "ue"), ("ß", "ss")):
         text = text.replace(mark, letters)
-    return text if text.isascii() else text.translate(_PLAIN)
+    return text.translate(_PLAIN) if _ACCENTS.search(text) else text
 
 
 def digits_to_letters(text: Column) -> Column:

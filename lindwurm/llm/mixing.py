@@ -18,8 +18,8 @@ from pyspark.sql.window import Window
 
 #: Patterns the driver may hold; 2 ** sources bounds them for the few sources of a mixture.
 MAX_PATTERNS = 200_000
-#: Parts of the seeded order in which running sums are taken side by side.
-ORDER_PARTS = 1024
+#: Documents that a part of the seeded order holds on average; running sums are taken over parts side by side.
+PART_ROWS = 100_000
 
 
 @dataclass
@@ -108,9 +108,10 @@ def mixture(documents: DataFrame, targets: DataFrame, *, key: str = "doc_id", me
         F.col(key), F.coalesce(F.col(tokens), F.lit(0)).cast("bigint").alias("tokens"),
         F.array_sort(F.array_intersect(F.coalesce(F.col(members), F.array().cast("array<string>")), wanted)).alias("pattern"),
     )
-    patterns = own.groupBy("pattern").agg(F.sum("tokens").alias("tokens")).limit(MAX_PATTERNS + 1).collect()
+    patterns = own.groupBy("pattern").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("documents")).limit(MAX_PATTERNS + 1).collect()
     if len(patterns) > MAX_PATTERNS:
         raise ValueError(f"more than {MAX_PATTERNS} membership patterns")
+    parts_wanted = 1 + sum(p["documents"] for p in patterns) // PART_ROWS
     total = float(sum(p["tokens"] for p in patterns)) if size is None else float(size)
     patterns = sorted((p for p in patterns if p["pattern"]), key=lambda p: p["pattern"])
     number = {n: i for i, n in enumerate(names)}
@@ -122,7 +123,7 @@ def mixture(documents: DataFrame, targets: DataFrame, *, key: str = "doc_id", me
     rows = [(p["pattern"], names[s], int(f // capacity[i]), f - (f // capacity[i]) * capacity[i]) for i, p in enumerate(patterns) for s in within[i] if (f := routed.flow[i, s]) > 0]
     plan = spark.createDataFrame(rows, "pattern array<string>, source string, whole int, rest double")
     hashed = own.where(F.size("pattern") > 0).withColumn("turn", F.xxhash64(F.lit(seed), F.col(key)))
-    hashed = hashed.withColumn("part", F.pmod(F.shiftright("turn", 40), F.lit(ORDER_PARTS)).cast("int"))
+    hashed = hashed.withColumn("part", F.pmod(F.shiftright("turn", 20), F.lit(parts_wanted)).cast("bigint"))
     parts = hashed.groupBy("pattern", "part").agg(F.sum("tokens").alias("sum"))
     before = parts.select("pattern", "part", (F.sum("sum").over(Window.partitionBy("pattern").orderBy("part")) - F.col("sum")).alias("before"))
     running = F.sum("tokens").over(Window.partitionBy("pattern", "part").orderBy("turn", key).rowsBetween(Window.unboundedPreceding, 0))

@@ -81,12 +81,26 @@ def p9_uses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixture(spark, sf_dir)[0]
 
 
+def p9_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares of a mixture in which a text that several sources carry may serve each of them.
+
+    Equal texts (reprints) are one document, a member of all their sources;
+    null texts are members of nothing.
+    """
+    documents = load(spark, sf_dir, "documents").where("text is not null")
+    carried = documents.groupBy(F.xxhash64("text").alias("h"), F.length("text").alias("n")).agg(F.min("doc_id").alias("doc_id"), F.array_sort(F.collect_set("source")).alias("members"))  # as many as there are sources
+    own = carried.join(documents.select("doc_id", "text"), "doc_id").select(F.struct("doc_id", "members").alias("own"), "text")
+    counted = tokens.encode_texts(own, key="own", counts_only=True)
+    sized = Scratch(spark, "overlaps").put(counted.select("own.doc_id", "own.members", "tokens"))
+    return mixing.mixture(sized, load(spark, sf_dir, "mix_targets"))[1]
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, sent_start, sent_end) of every sentence of every document."""
     return sentences.sentence_offsets(load(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p5_found": p5_found, "p5_survivors": p5_survivors, "p4_found": p4_found, "p3_found": p3_found, "p3_matches": p3_matches, "p6_found": p6_found, "p6_places": p6_places, "p1_found": p1_found, "p10_found": p10_found, "p2_found": p2_found, "p8_ids": p8_ids, "p9_found": p9_found, "p9_shares": p9_shares, "p9_uses": p9_uses}
+QUERIES = {"p5_found": p5_found, "p5_survivors": p5_survivors, "p4_found": p4_found, "p3_found": p3_found, "p3_matches": p3_matches, "p6_found": p6_found, "p6_places": p6_places, "p1_found": p1_found, "p10_found": p10_found, "p2_found": p2_found, "p8_ids": p8_ids, "p9_found": p9_found, "p9_shares": p9_shares, "p9_uses": p9_uses, "p9_overlaps": p9_overlaps}
 
 SQL = {
     "p2_found": """

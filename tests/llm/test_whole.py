@@ -1,5 +1,7 @@
 """Cases that an operator on listings once left out."""
 
+import random
+
 from lindwurm.llm import history, linkage, survivors
 from lindwurm.runtime import Scratch
 from test_listings import day, event, table
@@ -39,18 +41,31 @@ def test_paired_and_probed_scopes_find_the_same(spark):
 
 
 def test_a_long_chain_is_one_occasion(spark):
-    chain = [(f"e{i}", f"e{i + 1}") for i in range(8)]
-    df = spark.createDataFrame(chain, "id_a string, id_b string")
-    assert {tuple(r) for r in linkage.occasions(df).collect()} == {(f"e{i}", "e0") for i in range(9)}
+    df = spark.createDataFrame([(i, i + 1) for i in range(8)], "x bigint, y bigint")
+    assert {tuple(r) for r in linkage.occasions(df).collect()} == {(i, 0) for i in range(9)}
 
 
-def test_no_rated_pair_of_a_long_chain_is_lost(spark, monkeypatch):
-    chain = [(f"e{i}", f"e{i + 1}", f"s{i % 2}", f"s{(i + 1) % 2}", 0.9) for i in range(8)]
-    told = spark.createDataFrame([(f"e{i}", f"s{i % 2}", [(f"2012-01-{i + k:02d}",) for k in (1, 2)]) for i in range(9)], "id string, source string, days array<struct<day:string>>")
+def test_no_rated_pair_of_a_long_chain_is_lost_and_all_have_a_confidence(spark, monkeypatch):
+    told = spark.createDataFrame([(i, f"e{i}", f"s{i % 3}", [(f"2012-01-{i + k:02d}",) for k in (1, 2, 3)]) for i in range(9)], "no bigint, id string, source string, days array<struct<day:string>>")
     monkeypatch.setattr(linkage, "features", lambda events, reference, scratch: told)
-    monkeypatch.setattr(linkage, "scored", lambda told, scratch: spark.createDataFrame(chain, "id_a string, id_b string, source_a string, source_b string, confidence double"))
+    monkeypatch.setattr(linkage, "candidates", lambda told: spark.createDataFrame([(i, i + 1) for i in range(8)], "x bigint, y bigint"))
+    monkeypatch.setattr(linkage, "voted", lambda told, pairs: pairs.selectExpr("x", "y", *[f"if(y - x = 1, 1, -1) as {v}" for v in linkage.VOTES]))
+    monkeypatch.setattr(linkage, "posteriors", lambda votes: votes.select(*linkage.VOTES).distinct().unionByName(spark.createDataFrame([(-1,) * 7], votes.select(*linkage.VOTES).schema)).selectExpr("*", "if(v_title = 1, 0.9D, 0.1D) as confidence"))
     got = {tuple(r) for r in linkage.matches(told, told).collect()}
-    assert got == {(a, b, c) for a, b, _, _, c in chain}
+    assert got == {(f"e{i}", f"e{i + k}", 0.9 if k == 1 else 0.1) for i in range(9) for k in (1, 2) if i + k < 9}
+
+
+def test_correlated_functions_are_found(spark):
+    rnd = random.Random(6)
+    counts: dict = {}
+    for _ in range(6000):
+        true = rnd.random() < 0.4
+        vote = lambda right: (1 if true else -1) if rnd.random() < right else (-1 if true else 1)  # noqa: E731,B023
+        twin = vote(0.8)
+        v = (twin, twin if rnd.random() < 0.95 else -twin, vote(0.9), vote(0.85), vote(0.9))
+        counts[v] = counts.get(v, 0) + 1
+    groups = linkage.correlated_groups(list(counts), list(counts.values()))
+    assert (0, 1) in groups and sorted(i for g in groups for i in g) == [0, 1, 2, 3, 4] and max(map(len, groups)) <= linkage.TOGETHER
 
 
 def test_titles_are_generic_by_their_text_not_by_their_number(spark):

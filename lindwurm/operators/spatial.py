@@ -5,7 +5,9 @@ sphere is a chord and neither the poles nor the date line need a special case.
 The space is cut into cells by k-d splits fitted on a bounded sample of the
 points; every ball or outline is copied to each cell it may touch (its halo),
 so one shuffle by cell brings together all that can meet. A cell that holds
-many equal positions cannot be split further and is salted instead. Inside a
+many equal positions cannot be split further and is salted instead; where very
+many balls or outlines meet a cell they are split into parts, for each of which
+its points are copied. Inside a
 cell, balls query a local k-d tree by chord radius and outlines are answered by
 a plane sweep over their edges.
 """
@@ -189,24 +191,34 @@ def _valid(lat: str, lon: str):
     return F.col(lat).between(-90, 90) & F.col(lon).between(-180, 180) & ~F.isnan(lat) & ~F.isnan(lon)
 
 
-def _placed(points: DataFrame, splits: KdSplits, key: str, lat: str, lon: str) -> DataFrame:
-    """One row per point with its cell and salt."""
+def _placed(points: DataFrame, splits: KdSplits, key: str, lat: str, lon: str, parts: dict[int, int]) -> DataFrame:
+    """Each point with its cell and salt, once per part of the cell's regions."""
 
-    @F.pandas_udf("int")
-    def cell_of(la: pd.Series, lo: pd.Series) -> pd.Series:
-        return pd.Series(splits.locate(unit_vectors(la.to_numpy(), lo.to_numpy())), dtype="int32")
+    @F.pandas_udf("struct<cell:int,salts:int,parts:int>")
+    def cell_of(la: pd.Series, lo: pd.Series) -> pd.DataFrame:
+        cells = splits.locate(unit_vectors(la.to_numpy(), lo.to_numpy()))
+        return pd.DataFrame({"cell": cells.astype("int32"), "salts": np.asarray(splits.salts, "int32")[cells], "parts": np.array([parts.get(int(c), 1) for c in cells], "int32")})
 
-    salts = F.array(*[F.lit(s) for s in splits.salts]) if max(splits.salts) > 1 else None
     placed = points.where(_valid(lat, lon)).select(
         F.col(key).alias("p_key"), F.col(lat).cast("double").alias("p_lat"), F.col(lon).cast("double").alias("p_lon")
     )
-    placed = placed.withColumn("cell", cell_of("p_lat", "p_lon"))
-    salt = F.lit(0) if salts is None else F.pmod(F.xxhash64("p_key"), F.element_at(salts, F.col("cell") + 1)).cast("int")
-    return placed.withColumn("salt", salt)
+    placed = placed.withColumn("at", cell_of("p_lat", "p_lon")).select("p_key", "p_lat", "p_lon", "at.*")
+    placed = placed.withColumn("salt", F.pmod(F.xxhash64("p_key"), "salts").cast("int"))
+    if not parts:
+        return placed.drop("salts", "parts").withColumn("part", F.lit(0))
+    return placed.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("salts", "parts")
 
 
-def _halo(regions: DataFrame, splits: KdSplits, schema: str) -> DataFrame:
-    """Copies of each ball for every cell and salt it may meet. Columns: r_key, lat, lon, reach, ..."""
+def _parts(regions: DataFrame, splits: KdSplits, schema: str, cell_rows: int) -> dict[int, int]:
+    """Into how many parts the regions of a cell are split, where there are more than ``cell_rows``; at most one entry a cell."""
+    if regions.limit(cell_rows + 1).count() <= cell_rows:
+        return {}
+    dense = _halo(regions, splits, schema, {}).where("salt = 0").groupBy("cell").count().where(F.col("count") > cell_rows).collect()
+    return {r["cell"]: math.ceil(r["count"] / cell_rows) for r in dense}
+
+
+def _halo(regions: DataFrame, splits: KdSplits, schema: str, parts: dict[int, int]) -> DataFrame:
+    """Copies of each ball for every cell and salt it may meet, in one part of the cell. Columns: r_key, lat, lon, reach, ..."""
 
     def copies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -218,9 +230,11 @@ def _halo(regions: DataFrame, splits: KdSplits, schema: str) -> DataFrame:
                         rows.append(i), cells.append(cell), salts.append(salt)
             out = batch.iloc[rows].copy()
             out["cell"], out["salt"] = np.array(cells, "int32"), np.array(salts, "int32")
+            out["parts"] = np.array([parts.get(c, 1) for c in cells], "int32")
             yield out
 
-    return regions.mapInPandas(copies, schema + ", cell int, salt int")
+    copied = regions.mapInPandas(copies, schema + ", cell int, salt int, parts int")
+    return copied.withColumn("part", F.pmod(F.xxhash64("r_key"), "parts").cast("int")).drop("parts")
 
 
 def within_distance(points: DataFrame, centres: DataFrame, *, key: str, lat: str, lon: str, centre_key: str, centre_lat: str, centre_lon: str, radius_m: str, cell_rows: int = CELL_ROWS, splits: KdSplits | None = None) -> DataFrame:
@@ -238,7 +252,9 @@ def within_distance(points: DataFrame, centres: DataFrame, *, key: str, lat: str
         .select(F.col(centre_key).alias("r_key"), F.col(centre_lat).cast("double").alias("lat"), F.col(centre_lon).cast("double").alias("lon"),
                 (2 * F.sin(F.least(F.col(radius_m) / EARTH_RADIUS_M, F.lit(math.pi)) / 2)).alias("reach"))
     )
-    copied = _halo(balls, splits, f"r_key {centre_type}, lat double, lon double, reach double")
+    shape = f"r_key {centre_type}, lat double, lon double, reach double"
+    parts = _parts(balls, splits, shape, cell_rows)
+    copied = _halo(balls, splits, shape, parts)
 
     def meet(own: pd.DataFrame, regions: pd.DataFrame) -> pd.DataFrame:
         if not len(own) or not len(regions):
@@ -248,7 +264,7 @@ def within_distance(points: DataFrame, centres: DataFrame, *, key: str, lat: str
         hits = [tree.within(c, r) for c, r in zip(centre, regions["reach"])]
         return _met(own["p_key"], regions["r_key"], hits)
 
-    return _cogrouped(_placed(points, splits, key, lat, lon), copied, meet, key_type, centre_type, key, centre_key)
+    return _cogrouped(_placed(points, splits, key, lat, lon, parts), copied, meet, key_type, centre_type, key, centre_key)
 
 
 def inside_outlines(points: DataFrame, outlines: DataFrame, *, key: str, lat: str, lon: str, outline_key: str, ring: str, cell_rows: int = CELL_ROWS, splits: KdSplits | None = None) -> DataFrame:
@@ -280,7 +296,9 @@ def inside_outlines(points: DataFrame, outlines: DataFrame, *, key: str, lat: st
             yield batch.assign(lat=lat_mid, lon=lon_mid, reach=reach)[["r_key", "lat", "lon", "reach", "lons", "lats"]]
 
     shape = f"r_key {outline_type}, lat double, lon double, reach double, lons array<double>, lats array<double>"
-    copied = _halo(rings.mapInPandas(bound, shape), splits, shape)
+    bounded = rings.mapInPandas(bound, shape)
+    parts = _parts(bounded, splits, shape, cell_rows)
+    copied = _halo(bounded, splits, shape, parts)
 
     def meet(own: pd.DataFrame, regions: pd.DataFrame) -> pd.DataFrame:
         if not len(own) or not len(regions):
@@ -290,7 +308,7 @@ def inside_outlines(points: DataFrame, outlines: DataFrame, *, key: str, lat: st
         hits = [sweep_inside(lo, la, by_lat, np.column_stack([np.asarray(x, float), np.asarray(y, float)])) for x, y in zip(regions["lons"], regions["lats"])]
         return _met(own["p_key"], regions["r_key"], hits)
 
-    return _cogrouped(_placed(points, splits, key, lat, lon), copied, meet, key_type, outline_type, key, outline_key)
+    return _cogrouped(_placed(points, splits, key, lat, lon, parts), copied, meet, key_type, outline_type, key, outline_key)
 
 
 def _met(keys: pd.Series, regions: pd.Series, hits: list[np.ndarray]) -> pd.DataFrame:
@@ -302,7 +320,7 @@ def _met(keys: pd.Series, regions: pd.Series, hits: list[np.ndarray]) -> pd.Data
 
 
 def _cogrouped(placed: DataFrame, copied: DataFrame, meet, key_type: str, region_type: str, key: str, region_key: str) -> DataFrame:
-    found = placed.groupBy("cell", "salt").cogroup(copied.groupBy("cell", "salt")).applyInPandas(meet, f"p_key {key_type}, r_key {region_type}")
+    found = placed.groupBy("cell", "salt", "part").cogroup(copied.groupBy("cell", "salt", "part")).applyInPandas(meet, f"p_key {key_type}, r_key {region_type}")
     return found.distinct().select(F.col("p_key").alias(key), F.col("r_key").alias(region_key))
 
 
@@ -313,3 +331,15 @@ def zones_of_points(points: DataFrame, zones: DataFrame, *, key: str = "id", lat
     circles = within_distance(points, zones.where(F.col("kind") == "circle"), key=key, lat=lat, lon=lon, centre_key="zone_id", centre_lat="centre_lat", centre_lon="centre_lon", radius_m="radius_m", splits=splits)
     rings = inside_outlines(points, zones.where(F.col("kind") == "polygon"), key=key, lat=lat, lon=lon, outline_key="zone_id", ring="ring", splits=splits)
     return circles.unionByName(rings).distinct()
+
+
+def neighbours(points: DataFrame, metres: float, *, lat: str = "geo_latitude", lon: str = "geo_longitude", cell_rows: int = CELL_ROWS) -> DataFrame:
+    """(lat, lon, rows, near): per distinct valid position the rows there and the rows at other positions within a distance.
+
+    Rows of one position are counted before anything meets, so many of them
+    stay one point.
+    """
+    placed = points.where(_valid(lat, lon)).groupBy(F.col(lat).cast("double").alias("lat"), F.col(lon).cast("double").alias("lon")).agg(F.count(F.lit(1)).alias("rows"))
+    placed = placed.withColumn("at", F.struct("lat", "lon", "rows")).withColumn("reach_m", F.lit(float(metres)))
+    met = within_distance(placed, placed.withColumnsRenamed({"at": "other", "lat": "y", "lon": "x"}), key="at", lat="lat", lon="lon", centre_key="other", centre_lat="y", centre_lon="x", radius_m="reach_m", cell_rows=cell_rows)
+    return met.groupBy("at").agg(F.sum(F.when(F.col("at") == F.col("other"), 0).otherwise(F.col("other.rows"))).alias("near")).select("at.lat", "at.lon", "at.rows", "near")

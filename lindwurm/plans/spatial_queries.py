@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lindwurm.operators.spatial import zones_of_points
+from lindwurm.operators.spatial import neighbours, zones_of_points
 from lindwurm.runtime import load
 
 
@@ -13,9 +13,20 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return zones_of_points(load(spark, sf_dir, "source_events"), load(spark, sf_dir, "geo_zones"))
 
 
-QUERIES = {"p7_found": p7_found}
+def p7_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(lat, lon, rows, near): per position of source events, how many rows lie at other positions within 800 m."""
+    return neighbours(load(spark, sf_dir, "source_events"), 800.0)
+
+
+QUERIES = {"p7_found": p7_found, "p7_near": p7_near}
 
 SQL = {
+    "p7_near": """
+WITH p AS (SELECT geo_latitude AS lat, geo_longitude AS lon, count(*) AS rows FROM source_events WHERE geo_latitude BETWEEN -90 AND 90 AND geo_longitude BETWEEN -180 AND 180 GROUP BY 1, 2)
+SELECT a.lat, a.lon, a.rows, coalesce(sum(b.rows), 0)::BIGINT AS near FROM p a LEFT JOIN p b ON (a.lat <> b.lat OR a.lon <> b.lon)
+  AND 2 * 6371008.8 * asin(sqrt(pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2))) <= 800
+GROUP BY ALL
+""",
     "p7_found": """
 WITH p AS (
   SELECT DISTINCT id, geo_latitude AS la, geo_longitude AS lo FROM source_events

@@ -41,3 +41,12 @@ def test_equal_positions_are_salted():
     same = np.tile(spatial.unit_vectors(np.array([48.0]), np.array([8.0])), (1000, 1))
     splits = spatial.KdSplits(same, 1000, 100)
     assert sum(splits.salts) >= 10 and set(splits.locate(same)) == {0}
+
+
+def test_dense_centres_are_split_without_changing_the_result(spark):
+    rnd = random.Random(8)
+    rows = [(48 + rnd.random() / 50, 8 + rnd.random() / 50) for _ in range(120)] + [(48.0, 8.0)] * 30 + [(None, 8.0)]
+    df = spark.createDataFrame(rows, "geo_latitude double, geo_longitude double")
+    want = {(a, b): (rows.count((a, b)), sum(1 for c, d in rows if c is not None and (c, d) != (a, b) and metres(a, b, c, d) <= 400)) for a, b in rows if a is not None}
+    for size in (7, 10_000):
+        assert {(r["lat"], r["lon"]): (r["rows"], r["near"]) for r in spatial.neighbours(df, 400.0, cell_rows=size).collect()} == want

@@ -95,7 +95,8 @@ def correlated_groups(patterns: list[tuple[int, ...]], counts: list[int]) -> lis
             centred = votes - (votes * share[:, None]).sum(0) / share.sum()
             together = (centred * share[:, None]).T @ centred / share.sum()
             spread = np.sqrt(np.outer(together.diagonal(), together.diagonal()))
-            strength = np.maximum(strength, np.abs(np.divide(together, spread, out=np.zeros_like(together), where=spread > 1e-9)))
+            # less what chance alone makes of so few pairs
+            strength = np.maximum(strength, np.abs(np.divide(together, spread, out=np.zeros_like(together), where=spread > 1e-9)) - 3 / math.sqrt(share.sum() + 1))
     groups = [{i} for i in range(width)]
     for _, i, j in sorted(((-strength[i, j], i, j) for i in range(width) for j in range(i) if strength[i, j] >= CORRELATION)):
         p, q = (next(g for g in groups if k in g) for k in (i, j))

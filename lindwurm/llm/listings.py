@@ -69,9 +69,9 @@ def common_words(listings: DataFrame, rows: int) -> list[str]:
             for texts in zip(*(batch[c] for c in batch.columns)):
                 uses.update(words_of(*texts))
             if len(uses) > COUNTED_WORDS:
-                yield pd.DataFrame({"word": list(uses), "uses": list(uses.values())})
+                yield pd.DataFrame({"word": pd.Series(list(uses), dtype=object), "uses": pd.Series(list(uses.values()), dtype="int64")})
                 uses.clear()
-        yield pd.DataFrame({"word": list(uses), "uses": list(uses.values())})
+        yield pd.DataFrame({"word": pd.Series(list(uses), dtype=object), "uses": pd.Series(list(uses.values()), dtype="int64")})
 
     most = TELLING_ROWS + TELLING_SHARE * rows
     words = listings.mapInPandas(counted, "word string, uses bigint").groupBy("word").agg(F.sum("uses").alias("uses"))

@@ -206,7 +206,8 @@ def ranked_values(events: DataFrame, links: DataFrame, places: DataFrame, scratc
     def read(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         known = sent.value
         for batch in batches:
-            yield pd.DataFrame([described(t, known) for t in batch], columns=["normal", "words", "says", "sound", "alone", "amount"])
+            facts = list(zip(*[described(t, known) for t in batch])) or [()] * 6
+            yield pd.DataFrame({n: pd.Series(v, dtype=k) for n, k, v in zip(("normal", "words", "says", "sound", "alone", "amount"), (object, object, "int32", "int32", "int32", "float64"), facts)})
 
     long_bodies = bodies.select("grp", F.lit("description").alias("field"), "id", F.col("description").alias("raw"), read("description").alias("x"), "weight").select(
         "grp", "field", "id", "raw", F.xxhash64("x.normal").cast("string").alias("normal"), "weight", "x.words", "x.says", "x.sound", "x.alone", "x.amount"

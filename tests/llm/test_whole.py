@@ -50,7 +50,8 @@ def test_no_rated_pair_of_a_long_chain_is_lost_and_all_have_a_confidence(spark,
     monkeypatch.setattr(linkage, "features", lambda events, reference, scratch: told)
     monkeypatch.setattr(linkage, "candidates", lambda told: spark.createDataFrame([(i, i + 1) for i in range(8)], "x bigint, y bigint"))
     monkeypatch.setattr(linkage, "voted", lambda told, pairs: pairs.selectExpr("x", "y", *[f"if(y - x = 1, 1, -1) as {v}" for v in linkage.VOTES]))
-    monkeypatch.setattr(linkage, "posteriors", lambda votes: votes.select(*linkage.VOTES).distinct().unionByName(spark.createDataFrame([(-1,) * 7], votes.select(*linkage.VOTES).schema)).selectExpr("*", "if(v_title = 1, 0.9D, 0.1D) as confidence"))
+    table = spark.createDataFrame([(*[1] * 7, 0.9), (*[-1] * 7, 0.1)], ", ".join(f"{v} int" for v in linkage.VOTES) + ", confidence double")
+    monkeypatch.setattr(linkage, "posteriors", lambda votes: table)
     got = {tuple(r) for r in linkage.matches(told, told).collect()}
     assert got == {(f"e{i}", f"e{i + k}", 0.9 if k == 1 else 0.1) for i in range(9) for k in (1, 2) if i + k < 9}
 

@@ -21,7 +21,7 @@ from pyspark.sql.utils import AnalysisException
 
 from lindwurm.llm.components import connected_components
 from lindwurm.llm.edits import borders, osa, piece_key
-from lindwurm.llm.folding import folded, squeezed, zip5
+from lindwurm.llm.folding import folded, one_row, squeezed, zip5
 from lindwurm.llm.listings import days, plain
 from lindwurm.runtime import Scratch
 
@@ -176,13 +176,12 @@ def repeats(events: DataFrame, files: DataFrame, *, paired_rows: int = PAIRED_RO
     rows = sent.select("file_ingestion_id", "id", "source_code").distinct().join(accepted, "file_ingestion_id")
     letters = lambda c: F.regexp_replace(folded(F.coalesce(F.col(c), F.lit(""))), "[^a-z0-9]+", "")
     text = F.lower(F.translate("description", " \n\r\t\u00a0", ""))
-    told = scratch.put(
-        sent.select(
-            "id", F.concat_ws("|", "source_code", "id").alias("ref"), "source_code", bare_title(F.col("title")).alias("text"), generic_title(F.col("title")).alias("generic"), days(F.col("dates")).alias("days"),
-            letters("location_name").alias("place"), F.regexp_replace(letters("location_street"), "[0-9]+", "").alias("road"), letters("location_city").alias("town"), zip5(F.col("location_zipcode")).alias("code"),
-            F.when(F.col("description").isNotNull() & (text != ""), F.xxhash64(text)).alias("body"),
-        ).dropDuplicates(["ref"]).withColumn("no", F.monotonically_increasing_id())
+    read = sent.select(
+        "id", "file_ingestion_id", F.concat_ws("|", "source_code", "id").alias("ref"), "source_code", bare_title(F.col("title")).alias("text"), generic_title(F.col("title")).alias("generic"), days(F.col("dates")).alias("days"),
+        letters("location_name").alias("place"), F.regexp_replace(letters("location_street"), "[0-9]+", "").alias("road"), letters("location_city").alias("town"), zip5(F.col("location_zipcode")).alias("code"),
+        F.when(F.col("description").isNotNull() & (text != ""), F.xxhash64(text)).alias("body"),
     )
+    told = scratch.put(one_row(read, "ref", "file_ingestion_id").withColumn("no", F.monotonically_increasing_id()))
     # one scope per least set of equal fields that can give the points a link needs (two): no pair that the points accept is kept apart
     day, start = F.col("d.day").cast("string"), F.coalesce(F.col("d.start").cast("string"), F.lit("-"))
     told_town, told_code = F.col("town") != "", F.col("code") != ""

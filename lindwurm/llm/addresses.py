@@ -2,8 +2,10 @@
 
 Each distinct address is read into the tokens of a venue name (the kind of
 venue first, as it is spelt) and of a street with a house number, whichever
-fields they were written in. Within a municipality, MinHash banding over token
-and q-gram shingles of the proper words proposes pairs of forms; an affine-gap
+fields they were written in. Within a municipality, pairs of forms are proposed
+that have a proper word in common but for what an alignment forgives: both meet
+on what is left of the word's beginning when as many letters are struck out as
+it may have edits (MinHash banding can propose besides). An affine-gap
 alignment of their whole token lists, whose substitution costs know
 abbreviations, cut-off words and slips, verifies them. Every form then takes
 the place of the commonest form it leads to, and the venue ties together
@@ -12,6 +14,7 @@ records that give only a name with those that give only a street.
 
 from __future__ import annotations
 
+import itertools
 import re
 import zlib
 from functools import lru_cache
@@ -20,10 +23,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import BooleanType
 
 from lindwurm.llm.canonical import combination_of_event, municipalities
-from lindwurm.llm.edits import letter_counts, osa
+from lindwurm.llm.edits import as_codes, letter_counts, osa
 from lindwurm.llm.folding import folded, one_row, squeezed
 from lindwurm.runtime import Scratch
 
@@ -42,9 +45,10 @@ SHORT_ENDINGS = {"str": "strasse", "pl": "platz", "al": "allee"}
 ASIDES = {"eg", "og", "ug", "foyer", "nebenraum", "hintereingang", "vordereingang", "ortsmitte", "innenhof", "saal", "eingang"}
 NUMBER = re.compile(r"^(?:#|nr\.?|no\.?|hausnr\.?)?\s*(\d+)\s*([a-z]?)\s*(?:[-–/]\s*(\d+)\s*([a-z]?))?\s*\.?$")
 AT_END = re.compile(r"^(.*?[^\d\s])[\s,]+((?:#|nr\.?|no\.?)?\s*\d+\s?[a-z]?(?:\s?[-–/]\s?\d+\s?[a-z]?)?\.?)$")
-#: Bands and rows of names within a municipality, and of streets within a municipality and house number.
+#: MinHash bands and rows that suit names within a municipality.
 NAME_BANDS, NAME_ROWS = 12, 2
-LANE_BANDS, LANE_ROWS = 6, 1
+#: Letters of a word's beginning that its keys are made from. Any number finds the same; more give more keys and fewer chance meetings.
+BEGINNING = 8
 #: Costs of a gap in an alignment and up to which two forms are one: a gap of two tokens is within it, or one and a slip.
 OPENING, EXTENDING, LIMIT = 0.28, 0.1, 0.42
 
@@ -277,37 +281,99 @@ def aligned(first: list[tuple[str, ...]], second: list[tuple[str, ...]], opening
     return out
 
 
-@F.pandas_udf(DoubleType())
-def alignment(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Cost of aligning two forms, tokens parted by blanks."""
-    return pd.Series(aligned([x.split() for x in a], [y.split() for y in b]), dtype="float64")
+#: A token cut off so early, or so unlike what it stands for, that what it was cut from has no key of its spelt-out form.
+CUT_SHORT = re.compile("(?:^|(?<= ))(?:[^ ]{0,%d}|%s)[.]+(?= |$)" % (BEGINNING - 1, "|".join(k for k, v in SHORT.items() if len(k) >= BEGINNING and not v.startswith(k))))
 
 
-def representatives(forms: DataFrame, scratch: Scratch, bands: int, rows: int, limit: float = LIMIT) -> DataFrame:
+def _struck(words: list[str], letters: int, edits: int) -> np.ndarray:
+    """Numbers for what is left of the first ``letters`` letters without any ``edits`` of them, one row per word.
+
+    Words within that many edits, or with such beginnings, share one: what both
+    keep of each other has ``letters - edits`` letters or, filled up, blanks.
+    """
+    codes = as_codes([w[:letters].ljust(letters, "\0") for w in words])[0].astype(np.uint64)
+    out = []
+    for kept in itertools.combinations(range(letters), letters - edits):
+        key = np.full(len(words), letters * 8 + edits, np.uint64)
+        for c in kept:
+            key = (key ^ codes[:, c]) * np.uint64(0x9E3779B97F4A7C15)
+            key ^= key >> np.uint64(29)
+        out.append(key)
+    return np.stack(out, 1)
+
+
+def meeting_keys(texts: list[str], cut: list[bool]) -> list[np.ndarray]:
+    """Keys on which every two texts meet that align within the limit; the last two bits are 0, or 1 for a cut token, which meets 2.
+
+    Such an alignment has at least one token in the place of another, as
+    gaps on both sides cost more. ``cut`` says for which texts those keys are
+    wanted by which a token cut off early meets the words it may begin.
+    """
+    jobs: dict[tuple[int, int, int], tuple[list[int], list[str]]] = {}
+
+    def add(owner: int, word: str, letters: int, edits: int, role: int) -> None:
+        owners, words = jobs.setdefault((letters, edits, role), ([], []))
+        owners.append(owner), words.append(word)
+
+    for owner, (text, heads) in enumerate(zip(texts, cut)):
+        for token in dict.fromkeys(text.split()):
+            full = _spelled_out(token)
+            # as swap_costs allows: the shorter of two words decides
+            for edits in [0] if len(full) < 4 else [1] if len(full) < 7 else [1, 2] if len(full) == 7 else [2]:
+                add(owner, full, BEGINNING, edits, 0)
+            if heads:
+                for letters in range(min(len(full), 5) + 1):
+                    add(owner, full, letters, 0, 2)
+                for letters in (6, 7):
+                    add(owner, full, letters, 1, 2)
+                if CUT_SHORT.fullmatch(token):
+                    head = token.rstrip(".")
+                    add(owner, head, min(len(head), 7), int(len(head) >= 6), 1)
+    found: list[list[np.ndarray]] = [[] for _ in texts]
+    for (letters, edits, role), (owners, words) in jobs.items():
+        for owner, row in zip(owners, (_struck(words, letters, edits) << np.uint64(2) | np.uint64(role)).view(np.int64)):
+            found[owner].append(row)
+    return [np.unique(np.concatenate(rows)) if rows else np.empty(0, np.int64) for rows in found]
+
+
+def representatives(forms: DataFrame, scratch: Scratch, bands: int = 0, rows: int = 1, limit: float = LIMIT) -> DataFrame:
     """(block, form, rep) with the commonest form that each form leads to.
 
     ``forms`` has block, form (tokens parted by blanks), key (its proper words)
-    and n, the records that use it. Keys of a block that share a band and align
-    within the limit are candidates, as are forms of one key; of those whose
-    whole token lists align within it each form follows the commonest, up to
-    one that follows none. ``rep`` is an id.
+    and n, the records that use it. Keys of a block that align within the limit
+    are candidates, as are forms of one key; of those whose whole token lists
+    align within it each form follows the commonest, up to one that follows
+    none. ``rep`` is an id. Up to LIMIT no pair of keys is missed; ``bands`` of
+    MinHash ``rows`` propose besides, which a higher limit needs.
     """
     own = scratch.put(forms.select("block", "form", "key", "n", F.xxhash64("block", "form").alias("no"), F.xxhash64("block", "key").alias("text")))
 
     @F.pandas_udf("array<bigint>")
-    def banded(text: pd.Series) -> pd.Series:
-        return pd.Series(list(signatures(text.tolist(), bands, rows)), dtype=object)
-
-    # blocks of one key need no bands
+    def proposed(text: pd.Series, cut: pd.Series) -> pd.Series:
+        found = meeting_keys(text.tolist(), cut.tolist())
+        if bands:
+            found = [np.concatenate([x, y << 2]) for x, y in zip(found, signatures(text.tolist(), bands, rows))]
+        return pd.Series(found, dtype=object)
+
+    @F.pandas_udf(BooleanType())
+    def within(form: pd.Series, other: pd.Series, key: pd.Series, other_key: pd.Series) -> pd.Series:
+        split = lambda texts: [tuple(t.split()) for t in texts]
+        good = aligned(split(form), split(other)) <= limit
+        left = good & ((key != other_key) & ((form != key) | (other != other_key))).to_numpy(bool)
+        good[left] = aligned(split(key[left]), split(other_key[left])) <= limit
+        return pd.Series(good)
+
+    # blocks of one key need no keys
     texts = own.groupBy("block", "key", "text").agg(F.count(F.lit(1)).alias("forms"))
-    many = own.groupBy("block").agg(F.min("text").alias("x"), F.max("text").alias("y")).where("x <> y").select("block")
-    keyed = texts.join(many, "block", "left_semi").select("block", "text", "key", F.explode(banded("key")).alias("band")).select(F.xxhash64("block", "band").alias("bucket"), "text", "key")
-    met = keyed.alias("a").join(keyed.alias("b"), "bucket").where("a.text < b.text").select(F.col("a.text").alias("x"), F.col("b.text").alias("y"), F.col("a.key").alias("x_key"), F.col("b.key").alias("y_key")).distinct()
-    met = met.where(alignment("x_key", "y_key") <= limit).select("x", "y").unionByName(texts.where("forms > 1").select(F.col("text").alias("x"), F.col("text").alias("y")))
-    left = own.select(F.col("text").alias("x"), F.col("no").alias("f"), F.col("form").alias("f_form"), F.col("n").alias("f_n"))
-    right = own.select(F.col("text").alias("y"), F.col("no").alias("g"), F.col("form").alias("g_form"), F.col("n").alias("g_n"))
+    many = own.groupBy("block").agg(F.min("text").alias("x"), F.max("text").alias("y"), F.max(F.regexp_like("key", F.lit(CUT_SHORT.pattern))).alias("cut")).where("x <> y").select("block", "cut")
+    keyed = texts.join(many, "block").select("block", "text", F.explode(proposed("key", "cut")).alias("band")).select(F.xxhash64("block", F.shiftright("band", 2)).alias("bucket"), "text", F.col("band").bitwiseAND(3).cast("byte").alias("role"))
+    met = keyed.alias("a").join(keyed.alias("b"), "bucket").where("a.role = 0 and b.role = 0 and a.text < b.text or a.role = 1 and b.role = 2 and a.text <> b.text")
+    met = met.select(F.least("a.text", "b.text").alias("x"), F.greatest("a.text", "b.text").alias("y")).distinct()
+    met = met.unionByName(texts.where("forms > 1").select(F.col("text").alias("x"), F.col("text").alias("y")))
+    left = own.select(F.col("text").alias("x"), F.col("no").alias("f"), F.col("form").alias("f_form"), F.col("key").alias("f_key"), F.col("n").alias("f_n"))
+    right = own.select(F.col("text").alias("y"), F.col("no").alias("g"), F.col("form").alias("g_form"), F.col("key").alias("g_key"), F.col("n").alias("g_n"))
     pairs = met.join(left, "x").join(right, "y").where("x <> y or f < g")
-    good = pairs.where(alignment("f_form", "g_form") <= limit).select("f", "f_n", "g", "g_n")
+    good = pairs.where(within("f_form", "g_form", "f_key", "g_key")).select("f", "f_n", "g", "g_n")
     # each pair leads from the rarer to the commoner form
     lower = (F.col("f_n") < F.col("g_n")) | (F.col("f_n") == F.col("g_n")) & (F.col("f") < F.col("g"))
     steps = good.select(F.when(lower, F.col("f")).otherwise(F.col("g")).alias("no"), F.when(lower, F.struct(F.col("g_n").alias("n"), F.col("g").alias("to"))).otherwise(F.struct(F.col("f_n").alias("n"), F.col("f").alias("to"))).alias("step"))
@@ -318,6 +384,7 @@ def representatives(forms: DataFrame, scratch: Scratch, bands: int, rows: int, l
         roots, open_ = jumped, not jumped.where("moved").isEmpty()
         if not open_:
             break
+    scratch.settle()
     return own.join(roots.select("no", "to"), "no", "left").select("block", "form", F.coalesce("to", "no").alias("rep"))
 
 
@@ -349,8 +416,8 @@ def places_of(events: DataFrame, reference: DataFrame, scratch: Scratch) -> Data
     known = told.where("muni is not null")
     names = known.where("key <> ''").groupBy(F.col("muni").alias("block"), "form", "key").agg(F.count(F.lit(1)).alias("n"))
     lanes = known.where("lane <> '' and number <> ''").groupBy(F.concat_ws("|", "muni", "number").alias("block"), F.col("lane").alias("form"), F.col("lane").alias("key")).agg(F.count(F.lit(1)).alias("n"))
-    by_name = representatives(names, scratch, NAME_BANDS, NAME_ROWS).select(F.col("block").alias("muni"), "form", F.col("rep").alias("name_rep"))
-    by_lane = representatives(lanes, scratch, LANE_BANDS, LANE_ROWS).select(F.col("block").alias("lane_block"), F.col("form").alias("lane"), F.col("rep").alias("lane_rep"))
+    by_name = representatives(names, scratch).select(F.col("block").alias("muni"), "form", F.col("rep").alias("name_rep"))
+    by_lane = representatives(lanes, scratch).select(F.col("block").alias("lane_block"), F.col("form").alias("lane"), F.col("rep").alias("lane_rep"))
     tied = scratch.put(told.withColumn("lane_block", F.concat_ws("|", "muni", "number")).join(by_name, ["muni", "form"], "left").join(by_lane, ["lane_block", "lane"], "left").drop("lane_block"))
     scratch.drop(told)
     usual = (

@@ -128,10 +128,10 @@ def fuzzy_shared(a: pd.Series, b: pd.Series) -> pd.Series:
 
 def candidates(told: DataFrame) -> DataFrame:
     """(x, y), numbers of listings that share a day and a place, or a day, town and title word."""
-    day = told.where("muni is not null or place is not null").select("no", "muni", "place", "title_words", F.explode("days.day").alias("day"))
+    day = told.where("muni is not null or place is not null").select("no", "muni", "place", "title_words", F.explode(F.array_distinct("days.day")).alias("day"))
     at_place = day.where("place is not null").select(F.xxhash64(F.lit("p"), "day", "place").alias("key"), "no")
-    by_word = day.select(F.explode(F.transform("title_words", lambda w: F.xxhash64(F.lit("w"), "day", "muni", w))).alias("key"), "no")
-    keyed = at_place.unionByName(by_word).distinct()
+    by_word = day.select(F.explode(F.transform(F.array_distinct("title_words"), lambda w: F.xxhash64(F.lit("w"), "day", "muni", w))).alias("key"), "no")
+    keyed = at_place.unionByName(by_word)  # a day and a word come once in a listing, so its keys do
     return keyed.alias("a").join(keyed.alias("b"), "key").where("a.no < b.no").select(F.col("a.no").alias("x"), F.col("b.no").alias("y")).distinct()
 
 
@@ -195,8 +195,10 @@ def matches(events: DataFrame, reference: DataFrame, *, threshold: float = THRES
         return events.sparkSession.createDataFrame([], "id_a string, id_b string, confidence double")
     rated = scratch.put(votes.join(F.broadcast(table), VOTES).where(F.col("confidence") >= threshold).select("x", "y", "confidence"))
     scratch.drop(votes)
+    scratch.settle()
     label = occasions(rated)  # both ends of a rated pair share it, so no such pair is lost below
-    dated = scratch.put(label.join(told.select("no", "id", "source", F.explode("days.day").alias("day")), "no").distinct())
+    scratch.settle()
+    dated = scratch.put(label.join(told.select("no", "id", "source", F.explode(F.array_distinct("days.day")).alias("day")), "no"))
     tied = dated.alias("a").join(dated.alias("b"), ["occasion", "day"]).where("a.no < b.no and a.source <> b.source").select(F.col("a.no").alias("x"), F.col("b.no").alias("y"), F.least("a.id", "b.id").alias("id_a"), F.greatest("a.id", "b.id").alias("id_b")).distinct()
     tied = scratch.put(tied.join(rated, ["x", "y"], "left"))
     chained = voted(told, tied.where("confidence is null").select("x", "y")).join(F.broadcast(table), VOTES).select("x", "y", F.col("confidence").alias("own"))

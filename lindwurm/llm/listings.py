@@ -119,4 +119,5 @@ def features(events: DataFrame, reference: DataFrame, scratch: Scratch) -> DataF
     told = told.groupBy("id").agg(F.min(F.struct(*[c for c in told.columns[1:]])).alias("x")).select("id", *[f"x.{c}" for c in told.columns[2:]])
     kept = scratch.put(told.withColumn("no", F.monotonically_increasing_id()))
     scratch.drop(located)
+    scratch.settle()
     return kept

@@ -49,6 +49,8 @@ AT_END = re.compile(r"^(.*?[^\d\s])[\s,]+((?:#|nr\.?|no\.?)?\s*\d+\s?[a-z]?(?:\s
 NAME_BANDS, NAME_ROWS = 12, 2
 #: Letters of a word's beginning that its keys are made from. Any number finds the same; more give more keys and fewer chance meetings.
 BEGINNING = 8
+#: Proper words of a block up to which all pairs are aligned; a word has about twice as many keys.
+PAIRED_TEXTS = 16
 #: Costs of a gap in an alignment and up to which two forms are one: a gap of two tokens is within it, or one and a slip.
 OPENING, EXTENDING, LIMIT = 0.28, 0.1, 0.42
 
@@ -65,6 +67,8 @@ def house_number(text: str | None) -> str:
 
 def _words(text: str) -> str:
     """Figures inside words read as letters."""
+    if "0" not in text and "1" not in text:
+        return text
     return re.sub(r"[a-z01]{4,}", lambda m: m.group().replace("0", "o").replace("1", "l") if len(re.sub(r"\d", "", m.group())) >= 3 else m.group(), text)
 
 
@@ -73,6 +77,7 @@ def _bigrams(word: str) -> set[str]:
 
 
 KIND_BIGRAMS = {k: _bigrams(k) for k in KINDS}
+KIND_LETTERS = letter_counts(KINDS)
 
 
 @lru_cache(100_000)
@@ -88,9 +93,10 @@ def _kind(word: str) -> tuple[str, float]:
             if k.startswith(bare):
                 return k, 0.2
     if len(bare) >= 3:
-        # an edit touches three pairs of letters at most
+        # an edit touches three pairs of letters and two letter counts at most
         most, own = 1 if len(bare) < 7 else 2, _bigrams(bare)
-        near = [k for k in KINDS if abs(len(k) - len(bare)) <= most and len(KIND_BIGRAMS[k] & own) >= len(KIND_BIGRAMS[k]) - 3 * most]
+        changed = np.abs(KIND_LETTERS - letter_counts([bare])).sum(1)
+        near = [KINDS[i] for i in np.flatnonzero(changed <= 2 * most) if len(KIND_BIGRAMS[KINDS[i]] & own) >= len(KIND_BIGRAMS[KINDS[i]]) - 3 * most and abs(len(KINDS[i]) - len(bare)) <= most]
         away = osa([bare] * len(near), near)
         if len(near) and away.min() <= most:
             return near[int(away.argmin())], float(away.min())
@@ -106,8 +112,10 @@ def _kind(word: str) -> tuple[str, float]:
 def venue(name: str) -> tuple[str, str]:
     """(kind, proper words) of a folded venue name, both as they are spelt; words are parted by blanks."""
     text = _words(name)
-    text = re.sub(r"\([^)]*\)?", " ", text)
-    text = re.sub(r"^[^:]*:\s*", "", text)
+    if "(" in text:
+        text = re.sub(r"\([^)]*\)?", " ", text)
+    if ":" in text:
+        text = re.sub(r"^[^:]*:\s*", "", text)
     text = re.split(r"\s[–—-]\s|,", text)[0]
     text = re.sub(r"^\s*saal (im|in der|in)\s+", "", text)
     text = re.sub(r"\be\.?\s?v\.?\s*$|\b(saal|raum)\s*\d*\s*$|\b(kath|ev|evang)\b\.?", " ", text)
@@ -128,7 +136,7 @@ def venue(name: str) -> tuple[str, str]:
 @lru_cache(200_000)
 def street(text: str) -> tuple[str, str]:
     """(words of the street, house number) of one folded piece; a bare ending is joined to the word before it."""
-    text = re.sub(r"\([^)]*\)?", " ", text).strip()
+    text = (re.sub(r"\([^)]*\)?", " ", text) if "(" in text else text).strip()
     text = re.sub(r"\s+(?:ecke [a-z]+|hintereingang|innenhof)(?=\s+\d|$)", "", text).strip()
     number = ""
     if found := AT_END.match(text):
@@ -232,12 +240,17 @@ def swap_costs(words: list[str], first: np.ndarray, second: np.ndarray) -> np.nd
     edits = osa([full[k] for k in first[near]], [full[k] for k in second[near]])
     good = edits <= allowed[near]
     out[near[good]] = edits[good] / np.maximum(size[near[good]], 1) + np.where(short[first] | short[second], 0.1, 0.0)[near[good]]
+    maybe: tuple[list, list, list] = ([], [], [])
+    heads = [w.rstrip(".") for w in words]
     for k in np.flatnonzero((cut[first] | cut[second]) & (out > 0.2)):
-        x, y = int(first[k]), int(second[k])
-        for u, w in ((words[x], full[y]), (words[y], full[x])):
-            head = u.rstrip(".")
-            if u.endswith(".") and (w.startswith(head) or len(head) >= 6 and osa([head], [w[: len(head)]])[0] <= 1):
+        for x, y in ((int(first[k]), int(second[k])), (int(second[k]), int(first[k]))):
+            if cut[x] and full[y].startswith(heads[x]):
                 out[k] = 0.2
+            elif cut[x] and len(heads[x]) >= 6:
+                for own, value in zip(maybe, (k, heads[x], full[y][: len(heads[x])])):
+                    own.append(value)
+    if maybe[0]:
+        out[np.array(maybe[0])[osa(maybe[1], maybe[2]) <= 1]] = 0.2
     out[figure[first] | figure[second]] = 9.0
     out[first == second] = 0.0
     return out
@@ -336,7 +349,7 @@ def meeting_keys(texts: list[str], cut: list[bool]) -> list[np.ndarray]:
     return [np.unique(np.concatenate(rows)) if rows else np.empty(0, np.int64) for rows in found]
 
 
-def representatives(forms: DataFrame, scratch: Scratch, bands: int = 0, rows: int = 1, limit: float = LIMIT) -> DataFrame:
+def representatives(forms: DataFrame, scratch: Scratch, bands: int = 0, rows: int = 1, limit: float = LIMIT, paired_texts: int = PAIRED_TEXTS) -> DataFrame:
     """(block, form, rep) with the commonest form that each form leads to.
 
     ``forms`` has block, form (tokens parted by blanks), key (its proper words)
@@ -344,7 +357,8 @@ def representatives(forms: DataFrame, scratch: Scratch, bands: int = 0, rows: in
     are candidates, as are forms of one key; of those whose whole token lists
     align within it each form follows the commonest, up to one that follows
     none. ``rep`` is an id. Up to LIMIT no pair of keys is missed; ``bands`` of
-    MinHash ``rows`` propose besides, which a higher limit needs.
+    MinHash ``rows`` propose besides, which a higher limit needs. Blocks of up
+    to ``paired_texts`` keys are compared pair by pair, with the same result.
     """
     own = scratch.put(forms.select("block", "form", "key", "n", F.xxhash64("block", "form").alias("no"), F.xxhash64("block", "key").alias("text")))
 
@@ -355,21 +369,32 @@ def representatives(forms: DataFrame, scratch: Scratch, bands: int = 0, rows: in
             found = [np.concatenate([x, y << 2]) for x, y in zip(found, signatures(text.tolist(), bands, rows))]
         return pd.Series(found, dtype=object)
 
+    def close(first: pd.Series, second: pd.Series) -> np.ndarray:
+        # each pair once, as the forms of two keys bring the keys again
+        once: dict[tuple[str, str], int] = {}
+        at = [once.setdefault(pair, len(once)) for pair in zip(first, second)]
+        return (aligned([tuple(p.split()) for p, _ in once], [tuple(q.split()) for _, q in once]) <= limit)[at]
+
     @F.pandas_udf(BooleanType())
     def within(form: pd.Series, other: pd.Series, key: pd.Series, other_key: pd.Series) -> pd.Series:
-        split = lambda texts: [tuple(t.split()) for t in texts]
-        good = aligned(split(form), split(other)) <= limit
-        left = good & ((key != other_key) & ((form != key) | (other != other_key))).to_numpy(bool)
-        good[left] = aligned(split(key[left]), split(other_key[left])) <= limit
+        good = (key == other_key).to_numpy(bool)
+        good[~good] = close(key[~good], other_key[~good])
+        left = good & ((form != key) | (other != other_key) | (key == other_key)).to_numpy(bool)
+        good[left] = close(form[left], other[left])
         return pd.Series(good)
 
-    # blocks of one key need no keys
+    # blocks of one key need no keys; in those of a few, all pairs are fewer than keys
     texts = own.groupBy("block", "key", "text").agg(F.count(F.lit(1)).alias("forms"))
-    many = own.groupBy("block").agg(F.min("text").alias("x"), F.max("text").alias("y"), F.max(F.regexp_like("key", F.lit(CUT_SHORT.pattern))).alias("cut")).where("x <> y").select("block", "cut")
-    keyed = texts.join(many, "block").select("block", "text", F.explode(proposed("key", "cut")).alias("band")).select(F.xxhash64("block", F.shiftright("band", 2)).alias("bucket"), "text", F.col("band").bitwiseAND(3).cast("byte").alias("role"))
-    met = keyed.alias("a").join(keyed.alias("b"), "bucket").where("a.role = 0 and b.role = 0 and a.text < b.text or a.role = 1 and b.role = 2 and a.text <> b.text")
+    many = texts.groupBy("block").agg(F.count(F.lit(1)).alias("texts"), F.max(F.regexp_like("key", F.lit(CUT_SHORT.pattern))).alias("cut")).where("texts > 1")
+    few = texts.join(many.where(F.col("texts") <= paired_texts), "block").select("block", "text")
+    paired = few.alias("a").join(few.alias("b"), "block").where("a.text < b.text").select(F.col("a.text").alias("x"), F.col("b.text").alias("y"))
+    keyed = texts.join(many.where(F.col("texts") > paired_texts), "block").select("block", "text", F.explode(proposed("key", "cut")).alias("band"))
+    keyed = keyed.select(F.xxhash64("block", F.shiftright("band", 2)).alias("bucket"), "text", F.col("band").bitwiseAND(3).cast("byte").alias("role"))
+    # asked in a way that is not pushed down, so that both sides are one shuffle
+    meet = F.element_at(F.array(F.col("a.role") * 4 + F.col("b.role"), F.lit(0)), 1)
+    met = keyed.alias("a").join(keyed.alias("b"), "bucket").where((meet == 0) & (F.col("a.text") < F.col("b.text")) | (meet == 6) & (F.col("a.text") != F.col("b.text")))
     met = met.select(F.least("a.text", "b.text").alias("x"), F.greatest("a.text", "b.text").alias("y")).distinct()
-    met = met.unionByName(texts.where("forms > 1").select(F.col("text").alias("x"), F.col("text").alias("y")))
+    met = met.unionByName(paired).unionByName(texts.where("forms > 1").select(F.col("text").alias("x"), F.col("text").alias("y")))
     left = own.select(F.col("text").alias("x"), F.col("no").alias("f"), F.col("form").alias("f_form"), F.col("key").alias("f_key"), F.col("n").alias("f_n"))
     right = own.select(F.col("text").alias("y"), F.col("no").alias("g"), F.col("form").alias("g_form"), F.col("key").alias("g_key"), F.col("n").alias("g_n"))
     pairs = met.join(left, "x").join(right, "y").where("x <> y or f < g")
@@ -412,14 +437,24 @@ def places_of(events: DataFrame, reference: DataFrame, scratch: Scratch) -> Data
         F.xxhash64(*[F.coalesce(F.concat(F.lit("="), F.col(f)), F.lit("")) for f in fields]).alias("raw"),
         read(*[folded(squeezed(F.col(f))) for f in fields[:3]]).alias("p"),
     ).select("id", "file_ingestion_id", "raw", "combo", "p.*")
-    told = scratch.put(one_row(own, "id", "file_ingestion_id").join(municipalities(events, reference, scratch), "combo", "left").drop("combo"))
+    # ids hardly come again within a part, so nothing is sorted there
+    told = scratch.put(one_row(own.repartition("id"), "id", "file_ingestion_id").join(municipalities(events, reference, scratch), "combo", "left").drop("combo"))
+    scratch.settle()
     known = told.where("muni is not null")
     names = known.where("key <> ''").groupBy(F.col("muni").alias("block"), "form", "key").agg(F.count(F.lit(1)).alias("n"))
     lanes = known.where("lane <> '' and number <> ''").groupBy(F.concat_ws("|", "muni", "number").alias("block"), F.col("lane").alias("form"), F.col("lane").alias("key")).agg(F.count(F.lit(1)).alias("n"))
-    by_name = representatives(names, scratch).select(F.col("block").alias("muni"), "form", F.col("rep").alias("name_rep"))
-    by_lane = representatives(lanes, scratch).select(F.col("block").alias("lane_block"), F.col("form").alias("lane"), F.col("rep").alias("lane_rep"))
-    tied = scratch.put(told.withColumn("lane_block", F.concat_ws("|", "muni", "number")).join(by_name, ["muni", "form"], "left").join(by_lane, ["lane_block", "lane"], "left").drop("lane_block"))
+    by_name = representatives(names, scratch).select(F.xxhash64("block", "form").alias("name_no"), F.col("rep").alias("name_rep"))
+    by_lane = representatives(lanes, scratch).select(F.xxhash64("block", "form").alias("lane_no"), F.col("rep").alias("lane_rep"))
+    # forms are looked up by their numbers, and only what is asked for later travels
+    stem = F.aggregate(F.split("key", " "), F.lit(""), lambda a, w: F.when(F.length(w) > F.length(a), w).otherwise(a))
+    short = told.select(
+        "id", "muni", "number", "raw", F.replace(stem, F.lit("."), F.lit("")).alias("stem"), F.regexp_replace("lane", " ", "").alias("lane"),
+        F.when(F.col("muni").isNotNull() & (F.col("form") != ""), F.xxhash64("muni", "form")).alias("name_no"),
+        F.when(F.col("muni").isNotNull() & (F.col("lane") != "") & (F.col("number") != ""), F.xxhash64(F.concat_ws("|", "muni", "number"), "lane")).alias("lane_no"),
+    )
+    tied = scratch.put(short.join(by_name, "name_no", "left").join(by_lane, "lane_no", "left").drop("name_no", "lane_no"))
     scratch.drop(told)
+    scratch.settle()
     usual = (
         tied.where("name_rep is not null and lane_rep is not null").groupBy("name_rep", "lane_rep", "number").count()
         .groupBy("name_rep").agg(F.max_by(F.struct("lane_rep", "number"), F.struct("count", "lane_rep")).alias("usual"))
@@ -427,8 +462,7 @@ def places_of(events: DataFrame, reference: DataFrame, scratch: Scratch) -> Data
     named = tied.join(usual, "name_rep", "left")
     agrees = (F.col("number") == "") | (F.col("number") == F.col("usual.number"))
     place = F.when(agrees & F.col("usual").isNotNull(), F.col("usual.lane_rep")).otherwise(F.coalesce("lane_rep", F.when(F.col("number") == "", F.col("name_rep"))))
-    stem = F.aggregate(F.split("key", " "), F.lit(""), lambda a, w: F.when(F.length(w) > F.length(a), w).otherwise(a))
-    return named.select("id", "muni", place.alias("place"), F.replace(stem, F.lit("."), F.lit("")).alias("stem"), F.regexp_replace("lane", " ", "").alias("lane"), "number", "raw")
+    return named.select("id", "muni", place.alias("place"), "stem", "lane", "number", "raw")
 
 
 def memberships(events: DataFrame, reference: DataFrame) -> DataFrame:

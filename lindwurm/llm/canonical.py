@@ -13,6 +13,7 @@ import math
 from collections.abc import Iterator
 from functools import partial
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -73,25 +74,30 @@ def repair(tokens: DataFrame, vocabulary: DataFrame, max_edits: int = MAX_EDITS)
     reach = partial(reach_of, most=max_edits)
 
     def keyed(how, heads: bool) -> Column:
-        @F.pandas_udf("array<struct<key:bigint,cut:boolean>>")
-        def keys(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        # two arrays of numbers leave a worker much sooner than one of structs
+        @F.pandas_udf("struct<whole:array<bigint>,cut:array<bigint>>")
+        def keys(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                out = []
+                whole, cut = [], []
                 for text in batch:
                     bare = text.rstrip(".")
-                    found = [{"key": k, "cut": False} for k in how(bare)]
+                    whole.append(np.array(how(bare), np.int64))
                     if heads:  # of a word, all beginnings
-                        found += [{"key": k, "cut": True} for n in range(1, len(bare)) for k in _cut_keys(bare[:n])[:2]]
-                    elif text.endswith("."):
-                        found += [{"key": k, "cut": True} for k in _cut_keys(bare)]
-                    out.append(found)
-                yield pd.Series(out, dtype=object)
+                        found = [k for n in range(1, len(bare)) for k in _cut_keys(bare[:n])[:2]]
+                    else:
+                        found = _cut_keys(bare) if text.endswith(".") else []
+                    cut.append(np.array(found, np.int64))
+                yield pd.DataFrame({"whole": pd.Series(whole, dtype=object), "cut": pd.Series(cut, dtype=object)})
 
         return keys
 
+    def parted(rows: DataFrame, name: str, key: Column) -> DataFrame:
+        both = rows.select(name, key.alias("k")).select(name, F.explode(F.array(*[F.struct(F.col(f"k.{c}").alias("keys"), F.lit(c == "cut").alias("cut")) for c in ("whole", "cut")])).alias("k"))
+        return both.select(name, F.explode("k.keys").alias("key"), "k.cut")
+
     words = vocabulary.select("word").where("word <> ''").distinct()
-    kept = words.select("word", F.explode(keyed(partial(kept_keys, reach=reach, most=max_edits), True)("word")).alias("k")).select("word", "k.key", "k.cut")
-    sought = tokens.select("token", F.explode(keyed(partial(sought_keys, reach=reach), False)("token")).alias("k")).select("token", "k.key", "k.cut")
+    kept = parted(words, "word", keyed(partial(kept_keys, reach=reach, most=max_edits), True)("word"))
+    sought = parted(tokens, "token", keyed(partial(sought_keys, reach=reach), False)("token"))
     pairs = sought.join(kept, ["key", "cut"]).select("token", "word", "cut").distinct()
 
     @F.pandas_udf("int")
@@ -288,7 +294,7 @@ def resolve_places(events: DataFrame, places: DataFrame, *, city: str = "locatio
     keyed = combination(events, city, district, zipcode, lat, lon)
     middle = lambda c: F.percentile_approx(c, 0.5, MIDDLE_ACCURACY).alias(c)
     combos = keyed.groupBy("city", "district", "code", "spot").agg(middle("glat"), middle("glon"))
-    values = combos.select(F.explode(F.array("city", "district")).alias("value")).where("value is not null").distinct()
+    values = keyed.select(F.explode(F.array("city", "district")).alias("value")).where("value is not null").distinct()
     ranked = rank_entries(values, entries_of(places))
     joined = (
         combos.join(ranked.select(F.col("value").alias("city"), F.col("candidates").alias("city_candidates")), "city", "left")
@@ -367,12 +373,14 @@ def municipalities(events: DataFrame, places: DataFrame, scratch: Scratch) -> Da
     their postcode. Null where neither field nor position says anything.
     """
     resolved = scratch.put(resolve_places(events, places))
+    scratch.settle()
     keyed = combination(events, "location_city", "location_district", "location_zipcode", "geo_latitude", "geo_longitude")
     open_ = resolved.where("municipality < 0").select("city", "code").distinct()
     same = F.col("n.city").eqNullSafe(F.col("u.city")) & (F.col("n.code") == F.col("u.code"))
     spelt = F.array_join(tokens_of(F.coalesce("city", F.lit(""))), " ")
-    counted = keyed.groupBy("city", "code").count().alias("n").join(open_.alias("u"), same, "left_semi").withColumn("spelt", spelt).where("code <> '' and spelt <> ''")
-    usual = counted.groupBy("code", "spelt").agg(F.sum("count").alias("n")).groupBy("code").agg(F.max_by("spelt", F.struct("n", "spelt")).alias("usual"))
+    counted = keyed.groupBy("city", "code").count().alias("n").join(open_.alias("u"), same, "left_semi").withColumn("spelt", spelt).where("code <> ''")
+    # no filter on what is spelt: it would be pushed down to every row read
+    usual = counted.groupBy("code", "spelt").agg(F.sum("count").alias("n")).groupBy("code").agg(F.max_by("spelt", F.when(F.col("spelt") != "", F.struct("n", "spelt"))).alias("usual"))
     return resolved.join(usual, "code", "left").select(
         combination_key(F.col("city"), F.col("district"), F.col("code"), F.col("spot")).alias("combo"),
         F.when(F.col("municipality") >= 0, F.concat(F.lit("c"), F.col("municipality").cast("string"))).otherwise(F.concat(F.lit("u"), F.coalesce(F.col("usual"), F.nullif(spelt, F.lit(""))))).alias("muni"),

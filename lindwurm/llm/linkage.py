@@ -21,7 +21,7 @@ from pyspark.sql.types import IntegerType
 
 from lindwurm.llm.components import connected_components
 from lindwurm.llm.edits import osa
-from lindwurm.llm.listings import features
+from lindwurm.llm.listings import features, parted
 from lindwurm.runtime import Scratch
 
 VOTES = ["v_title", "v_words", "v_many", "v_start", "v_place", "v_near", "v_days"]
@@ -137,12 +137,14 @@ def candidates(told: DataFrame) -> DataFrame:
 
 def voted(told: DataFrame, pairs: DataFrame) -> DataFrame:
     """(x, y, votes...) of each pair (x, y)."""
-    own = told.select("no", F.struct("place", "number", "title_words", "words", "lat", "lon", "days").alias("own"))
+    # words travel as one text each, which takes much less room than an array
+    own = told.select("no", F.struct("place", "number", F.array_join("title_words", " ").alias("title_words"), F.array_join("words", " ").alias("words"), "lat", "lon", "days").alias("own"))
     pairs = pairs.join(own.select(F.col("no").alias("x"), F.col("own").alias("a")), "x").join(own.select(F.col("no").alias("y"), F.col("own").alias("b")), "y")
-    shared_title = F.size(F.array_intersect("a.title_words", "b.title_words"))
-    shared = F.size(F.array_intersect("a.words", "b.words"))
-    titled = (F.size("a.title_words") > 0) & (F.size("b.title_words") > 0)
-    worded = (F.size("a.words") > 0) & (F.size("b.words") > 0)
+    pairs = pairs.select("x", "y", "a", "b", *[parted(F.col(f"{side}.{c}")).alias(f"{side}_{c}") for side in "ab" for c in ("title_words", "words")])
+    shared_title = F.size(F.array_intersect("a_title_words", "b_title_words"))
+    shared = F.size(F.array_intersect("a_words", "b_words"))
+    titled = (F.size("a_title_words") > 0) & (F.size("b_title_words") > 0)
+    worded = (F.size("a_words") > 0) & (F.size("b_words") > 0)
     blank = F.lit(None).cast("array<string>")
     # the least difference of the starts on a common day
     gap = F.array_min(F.flatten(F.transform("a.days", lambda p: F.transform(F.filter("b.days", lambda q: q["day"] == p["day"]), lambda q: F.abs(p["start"] - q["start"])))))
@@ -151,11 +153,11 @@ def voted(told: DataFrame, pairs: DataFrame) -> DataFrame:
     numbered = (F.col("a.number") != "") & (F.col("b.number") != "") & (F.col("a.number") != F.col("b.number"))
     vote = lambda yes, no: F.when(yes, 1).when(no, -1).otherwise(0)
     pairs = pairs.withColumn("st", shared_title).withColumn("sw", shared).select(
-        "x", "y", "st", "sw", titled.alias("titled"), worded.alias("worded"), ((F.size("a.words") > 2) & (F.size("b.words") > 2)).alias("several"),
+        "x", "y", "st", "sw", titled.alias("titled"), worded.alias("worded"), ((F.size("a_words") > 2) & (F.size("b_words") > 2)).alias("several"),
         vote(gap <= 35, gap > 65).alias("v_start"), vote(same_place, other_place & numbered).alias("v_place"), vote(apart < 2.5, (apart > 6) & (apart < 60)).alias("v_near"),
         vote(F.size("a.days") == F.size("b.days"), F.abs(F.size("a.days") - F.size("b.days")) > 1).alias("v_days"),
         # only words that may still be slips of each other go to the workers
-        *[F.when((F.col(n) == 0) & there, F.col(f"{side}.{c}")).otherwise(blank).alias(f"{side}_{n}") for n, there, c in (("st", titled, "title_words"), ("sw", worded, "words")) for side in "ab"],
+        *[F.when((F.col(n) == 0) & there, F.col(f"{side}_{c}")).otherwise(blank).alias(f"{side}_{n}") for n, there, c in (("st", titled, "title_words"), ("sw", worded, "words")) for side in "ab"],
     )
     pairs = pairs.withColumn("ft", fuzzy_shared("a_st", "b_st")).withColumn("fw", fuzzy_shared("a_sw", "b_sw"))
     return pairs.select(
@@ -175,8 +177,19 @@ def posteriors(votes: DataFrame) -> DataFrame | None:
 
 
 def occasions(pairs: DataFrame) -> DataFrame:
-    """(no, occasion) of the listings of pairs (x, y): one label for all that a chain of pairs reaches, however long."""
-    return connected_components(pairs, a="x", b="y", prefix="occasions").select(F.col("node").alias("no"), F.col("component").alias("occasion"))
+    """(no, occasion) of the listings of pairs (x, y): one label for all that a chain of pairs reaches, however long.
+
+    Each listing takes the least of itself and those paired with it. Where all
+    are paired with one, as most are, that is their label; only labels that
+    pairs still tie to others go through the components.
+    """
+    scratch = Scratch(pairs.sparkSession, "occasions")
+    pairs = pairs.where("x <> y").select("x", "y")
+    both = pairs.unionByName(pairs.select(F.col("y").alias("x"), F.col("x").alias("y")))
+    least = scratch.put(both.groupBy("x").agg(F.min("y").alias("y")).select(F.col("x").alias("no"), F.least("x", "y").alias("label")))
+    open_ = pairs.join(least.select(F.col("no").alias("x"), F.col("label").alias("a")), "x").join(least.select(F.col("no").alias("y"), F.col("label").alias("b")), "y").where("a <> b").select("a", "b").distinct()
+    tied = connected_components(scratch.put(open_), prefix="occasions").select(F.col("node").alias("label"), "component")
+    return least.join(tied, "label", "left").select("no", F.coalesce("component", "label").alias("occasion"))
 
 
 def matches(events: DataFrame, reference: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
@@ -190,6 +203,7 @@ def matches(events: DataFrame, reference: DataFrame, *, threshold: float = THRES
     scratch = Scratch(events.sparkSession, "linkage")
     told = features(events, reference, scratch)
     votes = scratch.put(voted(told, candidates(told)))
+    scratch.settle()
     table = posteriors(votes)
     if table is None:
         return events.sparkSession.createDataFrame([], "id_a string, id_b string, confidence double")
@@ -198,8 +212,15 @@ def matches(events: DataFrame, reference: DataFrame, *, threshold: float = THRES
     scratch.settle()
     label = occasions(rated)  # both ends of a rated pair share it, so no such pair is lost below
     scratch.settle()
-    dated = scratch.put(label.join(told.select("no", "id", "source", F.explode(F.array_distinct("days.day")).alias("day")), "no"))
-    tied = dated.alias("a").join(dated.alias("b"), ["occasion", "day"]).where("a.no < b.no and a.source <> b.source").select(F.col("a.no").alias("x"), F.col("b.no").alias("y"), F.least("a.id", "b.id").alias("id_a"), F.greatest("a.id", "b.id").alias("id_b")).distinct()
+    days = told.select("no", "id", "source", F.array_distinct("days.day").alias("days"))
+    dated = label.join(days, "no").select("no", "id", "source", "occasion", F.when(F.size("days") > 1, F.col("days")).alias("days"), F.explode("days").alias("day"))
+    tied = dated.alias("a").join(dated.alias("b"), ["occasion", "day"]).where("a.no < b.no and a.source <> b.source")
+    # a pair comes out on the first of its common days only
+    tied = tied.where(F.coalesce(F.col("day") == F.array_min(F.array_intersect("a.days", "b.days")), F.lit(True)))
+    tied = tied.select(F.col("a.no").alias("x"), F.col("b.no").alias("y"), F.least("a.id", "b.id").alias("id_a"), F.greatest("a.id", "b.id").alias("id_b"))
     tied = scratch.put(tied.join(rated, ["x", "y"], "left"))
-    chained = voted(told, tied.where("confidence is null").select("x", "y")).join(F.broadcast(table), VOTES).select("x", "y", F.col("confidence").alias("own"))
-    return tied.join(chained, ["x", "y"], "left").select("id_a", "id_b", F.coalesce("confidence", "own").alias("confidence"))
+    # few pairs are tied by a chain only; just their listings are read again
+    chained = scratch.put(tied.where("confidence is null").drop("confidence"))
+    ends = chained.select(F.col("x").alias("no")).unionByName(chained.select(F.col("y").alias("no")))
+    own = voted(scratch.put(told.join(ends, "no", "left_semi")), chained.select("x", "y")).join(F.broadcast(table), VOTES).select("x", "y", "confidence")
+    return tied.where("confidence is not null").select("id_a", "id_b", "confidence").unionByName(chained.join(own, ["x", "y"], "left").select("id_a", "id_b", "confidence"))

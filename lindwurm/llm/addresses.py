@@ -392,7 +392,8 @@ def representatives(forms: DataFrame, scratch: Scratch, bands: int = 0, rows: in
     keyed = keyed.select(F.xxhash64("block", F.shiftright("band", 2)).alias("bucket"), "text", F.col("band").bitwiseAND(3).cast("byte").alias("role"))
     # asked in a way that is not pushed down, so that both sides are one shuffle
     meet = F.element_at(F.array(F.col("a.role") * 4 + F.col("b.role"), F.lit(0)), 1)
-    met = keyed.alias("a").join(keyed.alias("b"), "bucket").where((meet == 0) & (F.col("a.text") < F.col("b.text")) | (meet == 6) & (F.col("a.text") != F.col("b.text")))
+    # the estimate takes a text's keys for one row, so the engine might broadcast them all
+    met = keyed.alias("a").join(keyed.alias("b").hint("merge"), "bucket").where((meet == 0) & (F.col("a.text") < F.col("b.text")) | (meet == 6) & (F.col("a.text") != F.col("b.text")))
     met = met.select(F.least("a.text", "b.text").alias("x"), F.greatest("a.text", "b.text").alias("y")).distinct()
     met = met.unionByName(paired).unionByName(texts.where("forms > 1").select(F.col("text").alias("x"), F.col("text").alias("y")))
     left = own.select(F.col("text").alias("x"), F.col("no").alias("f"), F.col("form").alias("f_form"), F.col("key").alias("f_key"), F.col("n").alias("f_n"))

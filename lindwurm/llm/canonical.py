@@ -98,7 +98,8 @@ def repair(tokens: DataFrame, vocabulary: DataFrame, max_edits: int = MAX_EDITS)
     words = vocabulary.select("word").where("word <> ''").distinct()
     kept = parted(words, "word", keyed(partial(kept_keys, reach=reach, most=max_edits), True)("word"))
     sought = parted(tokens, "token", keyed(partial(sought_keys, reach=reach), False)("token"))
-    pairs = sought.join(kept, ["key", "cut"]).select("token", "word", "cut").distinct()
+    # the estimate takes a word's keys for one row, so the engine might broadcast them all
+    pairs = sought.join(kept.hint("merge"), ["key", "cut"]).select("token", "word", "cut").distinct()
 
     @F.pandas_udf("int")
     def distance(token: pd.Series, word: pd.Series, cut: pd.Series) -> pd.Series:

@@ -132,7 +132,8 @@ def candidates(told: DataFrame) -> DataFrame:
     at_place = day.where("place is not null").select(F.xxhash64(F.lit("p"), "day", "place").alias("key"), "no")
     by_word = day.select(F.explode(F.transform(F.array_distinct("title_words"), lambda w: F.xxhash64(F.lit("w"), "day", "muni", w))).alias("key"), "no")
     keyed = at_place.unionByName(by_word)  # a day and a word come once in a listing, so its keys do
-    return keyed.alias("a").join(keyed.alias("b"), "key").where("a.no < b.no").select(F.col("a.no").alias("x"), F.col("b.no").alias("y")).distinct()
+    # the estimate takes a listing's keys for one row, so the engine might broadcast them all
+    return keyed.alias("a").join(keyed.alias("b").hint("merge"), "key").where("a.no < b.no").select(F.col("a.no").alias("x"), F.col("b.no").alias("y")).distinct()
 
 
 def voted(told: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -214,7 +215,8 @@ def matches(events: DataFrame, reference: DataFrame, *, threshold: float = THRES
     scratch.settle()
     days = told.select("no", "id", "source", F.array_distinct("days.day").alias("days"))
     dated = label.join(days, "no").select("no", "id", "source", "occasion", F.when(F.size("days") > 1, F.col("days")).alias("days"), F.explode("days").alias("day"))
-    tied = dated.alias("a").join(dated.alias("b"), ["occasion", "day"]).where("a.no < b.no and a.source <> b.source")
+    # days, too, are more rows than the estimate has
+    tied = dated.alias("a").join(dated.alias("b").hint("merge"), ["occasion", "day"]).where("a.no < b.no and a.source <> b.source")
     # a pair comes out on the first of its common days only
     tied = tied.where(F.coalesce(F.col("day") == F.array_min(F.array_intersect("a.days", "b.days")), F.lit(True)))
     tied = tied.select(F.col("a.no").alias("x"), F.col("b.no").alias("y"), F.least("a.id", "b.id").alias("id_a"), F.greatest("a.id", "b.id").alias("id_b"))

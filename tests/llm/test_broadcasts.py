@@ -1,6 +1,8 @@
 """Rows that an explode makes are joined by shuffles: the engine takes them for as few as the rows they come from and would send them all to the driver."""
 
-from lindwurm.llm import addresses, canonical
+import pytest
+
+from lindwurm.llm import addresses, canonical, linkage
 from lindwurm.runtime import Scratch
 
 
@@ -39,3 +41,9 @@ def test_keys_of_words_are_not_broadcast(spark):
     found = canonical.repair(tokens, words)
     assert exploded_broadcasts(found) == 0
     assert {(r["token"], r["word"]) for r in found.collect()} == {("freibrug", "freiburg"), ("emmend.", "emmendingen")}
+
+
+@pytest.mark.parametrize("place", [7, None])
+def test_keys_of_listings_are_not_broadcast(spark, place):
+    told = spark.createDataFrame([(i, "m", place, ["varstann"], [("2012-01-01", 60)]) for i in range(3)], "no bigint, muni string, place bigint, title_words array<string>, days array<struct<day:string,start:int>>")
+    assert exploded_broadcasts(linkage.candidates(Scratch(spark, "told").put(told))) == 0
